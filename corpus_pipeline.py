@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import quality
+from skein.llm import compactwindows, orderminhash, packing, pii, quality
 from skein.sources.scratch import ensure_checkpoint_dir
 from skein.sources.tables import table
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("near-duplicate documents", orderminhash.stage),
+    ("repeated passages", compactwindows.stage),
+    ("personal data", pii.stage),
+    ("packing", packing.stage),
 ]
 #: Several stages are beyond SQL (order min-hashing, compact windows, differencing): tested against brute force.
 ORACLE_SQL = None

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, fingerprint, quality
+from skein.llm import chat, compactwindows, fingerprint, orderminhash, packing, pieces, pii, quality
 
 QUERIES = {
+    "op1_near_duplicates": orderminhash.op1_near_duplicates,
+    "op2_repeated_passages": compactwindows.op2_repeated_passages,
+    "op3_pii": pii.op3_pii,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_packing": packing.op7_packing,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
 }
 SQL = {
