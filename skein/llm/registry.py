@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, compactwindows, fingerprint, orderminhash, packing, pieces, pii, quality
+from skein.llm import chat, compactwindows, fingerprint, langid, orderminhash, packing, pieces, pii, quality, wrappers
 
 QUERIES = {
     "op1_near_duplicates": orderminhash.op1_near_duplicates,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_html_extraction": wrappers.op6_html_extraction,
     "op7_packing": packing.op7_packing,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
+    "op10_language": langid.op10_language,
 }
 SQL = {
     "op4_chat_formatting": chat.OP4_SQL,
