@@ -11,8 +11,9 @@ are verified by that alignment in the band that a similarity of 0.8 leaves. As l
 longest increasing subsequence of matched places.
 
 Candidates without all pairs. Copies count once. In each bucket of an entry, all members are compared with the least
-one; verified links give components. While a bucket has members of several components, up to 16 more of its members, by
-a hash, are compared with all others of other components and then leave it. Inside a component nothing more has to be
+one; verified links give components. While a bucket has members of several components, more of its members are compared
+with all others of other components and then leave it: in the first two turns some of its largest component, which
+most members join, then some of the others, until one component is left. Inside a component nothing more has to be
 compared; no pair of different components that share a bucket goes without. So no link between classes is lost, and
 large groups of near copies cost a few comparisons a member.
 
@@ -41,7 +42,9 @@ SIMILARITY = 0.8
 SHORT_KEEP, SHORT_ENTRIES = 3, 28
 LONG_KEEP, LONG_ENTRIES = 5, 40
 SHORT = 64
-PER_ROUND = 16
+#: Turns in which members of the largest component of a bucket are compared with the others, and of how many at once;
+#: later, of how many of the others.
+MAJOR_TURNS, MAJOR_AT_ONCE, MINOR_AT_ONCE = 2, 4, 16
 NO_ID = -(1 << 63)
 
 
@@ -152,6 +155,17 @@ def _candidates(members: DataFrame, leads: DataFrame) -> DataFrame:
     return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Components (node, component) after new links (a, b). A node without a row is a component of its own."""
+    ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    links = cut(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
+    if links.isEmpty():
+        return labels
+    roots = components(links).select(F.col("node").alias("own"), F.col("component").alias("root"))
+    fresh = roots.join(labels, roots["own"] == labels["node"], "left_anti").select(F.col("own").alias("node"), F.col("own").alias("component"))
+    return cut(labels.unionByName(fresh).join(roots, F.col("component") == F.col("own"), "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the least id of the component that it is in; one row for each row."""
     docs = docs.select("doc_id", "text")
@@ -163,23 +177,24 @@ def classes(docs: DataFrame) -> DataFrame:
     members = cut(keyed.join(shared.select("key"), "key").select("key", "node", "n", F.col("node").alias("part")))
     known = members.select(F.col("node").alias("doc_id")).distinct()
     sequences = cut(_sequences(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(known, "doc_id", "left_semi")))
-    links = cut(sketches.join(firsts, "copy").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    labels = components(sketches.join(firsts, "copy").where("node <> first").select("first", "node"), "first", "node")
     leads = shared.select("key", "lead.node", "lead.n", F.col("lead.node").alias("part"))
-    number = 0
+    turn = 0
     while True:
-        found = cut(_verified(cut(_candidates(members, leads)), sequences))
-        if not found.isEmpty():
-            links = cut(links.unionByName(found).distinct())
-        labels = components(links)
+        labels = _merged(labels, cut(_verified(cut(_candidates(members, leads)), sequences)))
         # The leads have met all others of their buckets. Buckets that are left with one component are done.
-        number += 1
         rest = members.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
         rest = cut(rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
-        mixed = cut(rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"))
-        members = cut(rest.join(mixed, "key"))
+        sizes = rest.groupBy("key", "part").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major")).where("parts > 1")
+        members = cut(rest.join(cut(mixed.select("key", "major")), "key"))
         if members.isEmpty():
             break
-        chosen = members.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PER_ROUND)).alias("slot")).agg(F.min(F.struct("part", "node", "n")).alias("lead"))
+        turn += 1
+        of_major = turn <= MAJOR_TURNS
+        pool = members.where("part = major" if of_major else "part <> major")
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(MAJOR_AT_ONCE if of_major else MINOR_AT_ONCE))
+        chosen = pool.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("part", "node", "n")).alias("lead"))
         leads = cut(chosen.select("key", "lead.node", "lead.n", "lead.part"))
     rows = sketches.select("node").join(labels, "node", "left")
     return rows.select(F.when(F.col("node") != NO_ID, F.col("node")).alias("doc_id"), F.coalesce("component", "node").alias("class_id"))
