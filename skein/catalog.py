@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from skein.plans import relational, texts
+
+MODULES = (relational, texts)
 FLAGSHIP = "j5_topk_cosine"
 
 
