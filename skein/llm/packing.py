@@ -51,10 +51,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache = WordCache(self._word, CACHE_WORDS)
+        self.letters = WordCache(self._letters, CACHE_WORDS)
+        self.marks = WordCache(self._whole, 10_000)
+        # Bytes that are printable stand for themselves, the others for the characters from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.shown = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Letters are one unit of this tokenizer, so its model alone gives their ids."""
+        text = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(".,;:!?")
+        # Of Western letters, normalisation changes the case alone; marks after them are a unit of their own.
+        if core.isalpha() and max(core) <= "ÿ":
+            return self.letters[core.lower()] + (self.marks[word[len(core) :]] if len(core) < len(word) else b"")
+        return self._whole(word)
 
     def encode(self, text: str) -> bytes:
         """Ids, each as four bytes, little end first."""
