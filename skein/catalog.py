@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import relational, texts
+from skein.plans import measures, relational, texts, vectors
 
-MODULES = (relational, texts)
+MODULES = (relational, texts, vectors, measures)
 FLAGSHIP = "j5_topk_cosine"
 
 
