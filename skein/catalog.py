@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import duplicates, evidence, measures, relational, texts, vectors
+from skein.plans import duplicates, evidence, measures, relational, selecting, texts, validating, vectors
 
-MODULES = (relational, texts, vectors, measures, duplicates, evidence)
+MODULES = (relational, texts, vectors, measures, duplicates, evidence, selecting, validating)
 FLAGSHIP = "j5_topk_cosine"
 
 

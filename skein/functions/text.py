@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]"
 GAP = r"[^\p{L}\p{N}_]"
@@ -22,7 +23,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """NFKD without combining marks, folded, without apostrophes; anything but word characters and hyphens is a space."""
     import re
@@ -36,7 +37,7 @@ def strip_marks(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose_terms(text: pd.Series) -> pd.Series:
     """NFKC, folded; runs of anything but word characters are a space."""
     import re
@@ -44,7 +45,7 @@ def compose_terms(text: pd.Series) -> pd.Series:
     return text.map(lambda t: re.sub(r"[^\w]+", " ", unicodedata.normalize("NFKC", t).casefold()).strip(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_text(text: pd.Series) -> pd.Series:
     """NFKD without combining marks, folded, without apostrophes; runs of anything but word characters are a space."""
     import re
