@@ -4,23 +4,35 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names. Only where it is unset, as in local tests, is one made here."""
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder under the one that spark.checkpoint.dir names. Only where that is unset, as in local tests, is one made
+    here."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "skein-checkpoints"))
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "skein-scratch"))
+    return f"{context.getCheckpointDir()}/tables"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there: later plans start at these files.
+    """``df`` written to the shared folder as Parquet and read from there: later plans start at these files.
 
-    The files are replicated by the shared store, so a lost executor costs nothing. The default storage of
-    an eager checkpoint runs the plan once.
+    A lost executor costs nothing, as the files are in the shared store. Unlike a checkpoint, what is read has the size
+    of its files as its statistics: estimates do not multiply from turn to turn of a loop.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what has been cut in this session, once its results have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

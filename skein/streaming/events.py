@@ -12,7 +12,8 @@ LATE = "10 minutes"
 
 
 def _marked(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", LATE) if events.isStreaming else events
+    """Event times of streams have to be instants; those without a zone are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE) if events.isStreaming else events
 
 
 def hourly(events: DataFrame) -> DataFrame:
