@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import compactwindows, orderminhash, packing, pii, quality
-from skein.sources.scratch import ensure_checkpoint_dir
+from skein.sources.scratch import scratch_folder
 from skein.sources.tables import table
 
 STAGES = [
@@ -23,8 +23,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order. What lies between two of them is written to the shared folder of spark.checkpoint.dir."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
