@@ -18,9 +18,10 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str, arrays: bool = False) -> DataFrame:
     """``make()`` is called once a task and gives a function from columns (lists) to columns (lists of any other
-    length, or None). If that function has a method ``finish``, it gives last rows."""
+    length, or None). If that function has a method ``finish``, it gives last rows. With ``arrays``, columns come as
+    NumPy arrays, a whole batch at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -33,8 +34,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
             if columns and len(columns[first]):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
-        for part in slices(batches):
-            yield from pack(function({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}))
+        for part in batches if arrays else slices(batches):
+            columns = enumerate(part.schema.names)
+            yield from pack(function({name: part.column(i).to_numpy(zero_copy_only=False) if arrays else part.column(i).to_pylist() for i, name in columns}))
         if hasattr(function, "finish"):
             yield from pack(function.finish())
 
