@@ -22,10 +22,24 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
 
+def ranked_hits(rows: DataFrame, by: list[str], truth: str, score: str, tie: str) -> DataFrame:
+    """rows with k, the rank by descending score, and hits, the positives down to it.
+
+    A group is not sorted in one task: scores are dealt into bins of a thousandth, the bins' counts (a table of bounded
+    size) are summed up, and rows are ranked inside their bin.
+    """
+    binned = rows.withColumn("_bin", -F.floor(F.col(score) * 1000))
+    totals = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n"), F.count_if(truth).alias("_h"))
+    above = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "_bin", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("_h").over(above), F.lit(0)).alias("_h"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(F.desc(score), tie)
+    ranked = binned.join(starts, [*by, "_bin"]).withColumn("k", F.row_number().over(inside) + F.col("_n")).withColumn("hits", F.sum(F.col(truth).cast("bigint")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_h"))
+    return ranked.drop("_bin", "_n", "_h")
+
+
 def average_precision(rows: DataFrame, by: list[str], truth: str, score: str, tie: str) -> DataFrame:
     """Mean of the precision at each positive, by descending score; null without positives."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), tie)
-    ranked = rows.select(*by, truth, F.row_number().over(order).alias("k"), F.sum(F.col(truth).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    ranked = ranked_hits(rows.select(*by, truth, score, tie), by, truth, score, tie)
     return ranked.groupBy(*by).agg(F.avg(F.when(F.col(truth), F.col("hits") / F.col("k"))).alias("ap"))
 
 

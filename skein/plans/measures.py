@@ -69,8 +69,7 @@ def a14(spark, sf):
 
 @plans("w10_cumulative_hits", f"WITH {PRED_SQL}, {AP_SQL} SELECT concept, vec_id, k, CAST(hits AS BIGINT) AS hits FROM r")
 def w10(spark, sf):
-    w = Window.partitionBy("concept").orderBy(F.desc("weight"), "vec_id")
-    return predictions(spark, sf).select("concept", "vec_id", F.row_number().over(w).cast("bigint").alias("k"), F.sum(F.col("truth").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    return M.ranked_hits(predictions(spark, sf), ["concept"], "truth", "weight", "vec_id").select("concept", "vec_id", F.col("k").cast("bigint").alias("k"), "hits")
 
 
 @plans("a15_calibration_error", f"WITH {PRED_SQL}, b AS (SELECT concept, least(floor(weight * 10), 9) AS bin, count(*) AS n, avg(weight) AS p, avg(CAST(truth AS DOUBLE)) AS t FROM pred GROUP BY concept, bin) SELECT concept, round(sum(n * abs(p - t)) / sum(n), 6) AS ece FROM b GROUP BY concept")
