@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import metrics as M
+from skein.functions import vectors as VF
 from skein.plans.registry import Plans
-from skein.plans.vectors import SIM_SQL, WEIGHT_SQL, similarities, weights
+from skein.plans import vectors as V
+from skein.plans.vectors import CENTROID_SQL, NIN, SIM_SQL, VEC, WEIGHT_SQL, similarities, weights
 from skein.sources.tables import table
 
 plans = Plans()
@@ -310,4 +312,34 @@ def w8(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("upto"))
 
 
+#: A grid of hard-negative penalties, lexical weights and thresholds of the raw score.
+PENALTIES, LEXICAL, CUTS = (0.25, 0.5, 0.75), (0.1, 0.2), (0.1, 0.3)
+_PARTS_SQL = f"{CENTROID_SQL}, neg AS (SELECT e.vec_id, max(list_dot_product(e.v, p.v)) AS n FROM ({VEC}) e, ({VEC} WHERE vec_id IN {NIN}) p GROUP BY e.vec_id), part AS (SELECT e.vec_id, cent.concept, (e.label = cent.concept) AS truth, list_dot_product(e.v, cent.c) / sqrt(list_dot_product(cent.c, cent.c)) AS pos, neg.n, (e.vec_id % 5) / CAST(5 AS DOUBLE) AS lex FROM ({VEC}) e JOIN neg ON neg.vec_id = e.vec_id, cent)"
+_GRID_SQL = "(VALUES " + ", ".join(f"(CAST({p} AS DOUBLE), CAST({w} AS DOUBLE), CAST({c} AS DOUBLE))" for p in PENALTIES for w in LEXICAL for c in CUTS) + ") g(penalty, lexical, cutoff)"
+
+
+@plans("g16_grid_search", f"WITH {_PARTS_SQL}, c AS (SELECT penalty, lexical, cutoff, concept, count_if(truth AND hit) AS tp, count_if(NOT truth AND hit) AS fp, count_if(truth AND NOT hit) AS fn FROM (SELECT *, round(0.9 * (pos - penalty * n) + lexical * lex, 9) >= cutoff AS hit FROM part, {_GRID_SQL}) GROUP BY 1, 2, 3, 4) SELECT penalty, lexical, cutoff, round(avg({sql_f1('tp', 'fp', 'fn')}), 6) AS macro_f1 FROM c GROUP BY 1, 2, 3")
+def g16(spark, sf):
+    """Every configuration of a fixed grid, from one set of similarities."""
+    vectors = V.rows(spark, sf)
+    cents = VF.centroids(table(spark, sf, "embeddings").where(F.col("label").isin(*V.CONCEPTS)), "label", "embedding").select(F.col("label").alias("concept"), "centroid")
+    bank = vectors.where(F.col("vec_id").isin(*V.NEGATIVE_IDS)).agg(F.collect_list("v").alias("bank"))  # a fixed list of ids
+    base = vectors.join(F.broadcast(bank)).select("vec_id", "label", "v", F.array_max(F.transform("bank", lambda p: VF.dot(F.col("v"), p))).alias("negative"))
+    parts = base.join(F.broadcast(cents)).select("concept", (F.col("label") == F.col("concept")).alias("truth"), VF.dot(F.col("v"), F.col("centroid")).alias("pos"), "negative", ((F.col("vec_id") % 5) / F.lit(5.0)).alias("lex"))
+    grid = F.explode(F.array(*[F.struct(F.lit(p).alias("penalty"), F.lit(w).alias("lexical"), F.lit(c).alias("cutoff")) for p in PENALTIES for w in LEXICAL for c in CUTS]))
+    tried = parts.select("*", grid.alias("g")).select("concept", "truth", "pos", "negative", "lex", "g.*")
+    hit = F.round(VF.hybrid(F.col("pos"), F.col("negative"), F.col("lex"), 0.9, F.col("penalty"), F.col("lexical")), 9) >= F.col("cutoff")
+    tp, fp, fn = M.counts(F.col("truth"), F.col("hit"))
+    per = tried.withColumn("hit", hit).groupBy("penalty", "lexical", "cutoff", "concept").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    return per.groupBy("penalty", "lexical", "cutoff").agg(F.round(F.avg(f1_of()), 6).alias("macro_f1"))
+
+
+@plans("m15_backoff", "SELECT event_id, CAST(greatest(CASE WHEN event_type = 'error' THEN 5 ELSE 0 END, least(60, 2 * pow(2, event_id % 8))) AS DOUBLE) AS delay FROM events")
+def m15(spark, sf):
+    """Doubling delays of two seconds up to a minute, at least five where the limit was hit; jitter is left out."""
+    attempt = F.col("event_id") % 8
+    delay = F.greatest(F.when(F.col("event_type") == "error", 5.0).otherwise(0.0), F.least(F.lit(60.0), 2 * F.pow(F.lit(2.0), attempt)))
+    return table(spark, sf, "events").select("event_id", delay.alias("delay"))
+
+
 QUERIES, SQL = plans.queries, plans.sql
