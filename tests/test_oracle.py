@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import numbers
 
 import duckdb
+import pandas as pd
 import pytest
 
 from skein import catalog
@@ -23,9 +25,9 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
-        return repr(round(float(v), 6) + 0.0) if isinstance(v, float) else str(v)
+        return repr(round(float(v), 6) + 0.0) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
