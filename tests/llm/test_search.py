@@ -144,8 +144,9 @@ def test_passages_hold_exact_repeats(spark):
         texts.append(" ".join(body))
     near = edited(rng, shared[3], 3)
     texts.append(" ".join(prose(rng, 40) + near + prose(rng, 40)))
-    found = compactwindows.spans_to_cut(compactwindows.passages(frame(spark, texts))).collect()
-    spans = {r.node: [(s.a, s.b, s.y) for s in r.spans] for r in found}
+    docs = frame(spark, texts)
+    found = compactwindows.located(docs, compactwindows.marks(compactwindows.passages(docs), keeps=False)).collect()
+    spans = {r.node: [(s.a, s.b, s.y) for s in r.marks] for r in found}
     missed = caught = 0
     for i, places in repeated_words(texts).items():
         words = [m.span() for m in re.finditer(r"\S+", texts[i] or "")]
