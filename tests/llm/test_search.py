@@ -130,6 +130,39 @@ def repeated_words(texts, size=50):
     return out
 
 
+def crowded(rng):
+    """Documents in which a near copy has only an earlier document with the same line in other text as its group's
+    first: the line holds most pivots of the passages."""
+    line = prose(rng, 40)
+    texts = [prose(rng, 60) + line + prose(rng, 60), prose(rng, 40) + line + prose(rng, 40)]
+    pairs = []
+    for _ in range(12):
+        passage = prose(rng, 11) + line + prose(rng, 3)
+        near = [*passage[:10], "changed", *passage[11:]]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [prose(rng, 30) + passage + prose(rng, 30), prose(rng, 30) + near + prose(rng, 30)]
+    return [" ".join(t) for t in texts], pairs
+
+
+def test_passages_of_windows_that_their_group_s_first_does_not_confirm(spark):
+    texts, pairs = crowded(random.Random(21))
+    found = {(r.x, r.y) for r in compactwindows.passages(frame(spark, texts)).collect()}
+    assert found >= {(b, a) for a, b in pairs}
+    assert all((y, x) in pairs for x, y in found)
+
+
+def test_passages_beside_another_place_of_the_same_line_in_the_first(spark):
+    rng = random.Random(22)
+    texts = []
+    for _ in range(12):
+        line, left, right = prose(rng, 40), prose(rng, 3), prose(rng, 7)
+        texts.append(" ".join(prose(rng, 50) + line + prose(rng, 60) + left + line + right + prose(rng, 50)))
+        texts.append(" ".join(prose(rng, 30) + left + line + right + prose(rng, 30)))
+    found = compactwindows.passages(frame(spark, texts)).collect()
+    for k in range(1, len(texts), 2):
+        assert any(r.x == k and r.y == k - 1 and r.xa <= 30 and r.xb >= 80 for r in found)
+
+
 def test_passages_hold_exact_repeats(spark):
     rng = random.Random(9)
     shared = [prose(rng, n) for n in (50, 55, 80, 300)]
