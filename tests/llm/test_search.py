@@ -163,6 +163,41 @@ def test_passages_beside_another_place_of_the_same_line_in_the_first(spark):
         assert any(r.x == k and r.y == k - 1 and r.xa <= 30 and r.xb >= 80 for r in found)
 
 
+def recalled(rng, edit, n, count=400):
+    """The share of ``count`` passages of n words whose edited copy in other text is found, with the first of its group
+    its only partner."""
+    found = 0
+    for _ in range(count):
+        passage = prose(rng, n)
+        texts = [prose(rng, 60) + passage + prose(rng, 60), prose(rng, 60) + edit(passage) + prose(rng, 60)]
+        search = compactwindows._Windows(50)
+        search({"node": [0, 1], "text": [" ".join(t) for t in texts]})
+        rows = search.finish()
+        pairs = [{c: int(v[k]) for c, v in rows.items()} for k in np.flatnonzero(~rows["lead"] & (rows["x"] == 1) & (rows["y"] == 0))]
+        boxes = [(w["xc"] - w["yc"], max(w["xl"], w["yl"] + w["xc"] - w["yc"]), min(w["xr"], w["yr"] + w["xc"] - w["yc"])) for w in pairs]
+        x, y = ((shingles(t) >> np.uint64(32)).astype("<u4") for t in (texts[1], texts[0]))
+        found += any(a <= 62 and b >= 60 + n - 6 for a, b, _, _ in compactwindows.chains(x, y, boxes, 50, 0.8))
+    return found / count
+
+
+def test_near_passages_are_recalled():
+    rng = random.Random(23)
+    assert recalled(rng, lambda p: [*p[:25], "changed", *p[26:]], 50) >= 0.995
+    for more in (5, 8):
+        assert recalled(rng, lambda p, k=more: [*p[:40], *prose(rng, k), *p[40:]], 80) >= 0.995
+
+
+def test_runs_listed_and_gone_through_are_the_same(monkeypatch):
+    rng = np.random.default_rng(24)
+    for _ in range(50):
+        x, y = (rng.integers(1, 4, int(n)).astype("<u4") for n in rng.integers(30, 90, 2))
+        x[10:25] = y[5:20]
+        want = sorted(compactwindows._equal_runs(x, y, 5, 5, 60, 0.8))
+        monkeypatch.setattr(compactwindows, "LISTED", -1)
+        assert sorted(compactwindows._equal_runs(x, y, 5, 5, 60, 0.8)) == want
+        monkeypatch.undo()
+
+
 def test_passages_hold_exact_repeats(spark):
     rng = random.Random(9)
     shared = [prose(rng, n) for n in (50, 55, 80, 300)]
