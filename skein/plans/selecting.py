@@ -185,25 +185,42 @@ def g12(spark, sf):
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 3").select("lang", "doc_id", "rank")
 
 
-@plans("g13_hard_negative_pick")
-def g13(spark, sf):
-    """One of each category, then up to six with as few repeats of a source as can be; a group's task gets the best
-    twelve of each category."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, sf, "labels").where("quality = 0 OR toxic = 1"), "doc_id")
-    rows = docs.select("doc_id", "source", "lang", F.concat("quality", F.lit("/"), "toxic").alias("category"), F.abs(F.col("n_chars") - 1200).alias("off"))
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang", "category").orderBy("off", "doc_id"))).where("k <= 12")
+MOST_NEGATIVES = 6
+
+
+def hard_negatives(rows):
+    """lang and doc_id: the best of each category, then up to six, each the one with the fewest rows of its source so
+    far. ``rows``: doc_id, source, lang, category, off.
+
+    Exact on what a language's task gets: its best row of each category, and of the six sources with the best first rows
+    the best six each. While fewer than six rows are chosen, a source without any is among the six whenever there is
+    one; otherwise there are fewer than six sources, and of each at most six rows are taken, in order.
+    """
+    first = F.row_number().over(Window.partitionBy("lang", "category").orderBy("off", "doc_id"))
+    leads = rows.withColumn("k", first).where("k = 1").select("lang", "source", "category", "off", "doc_id")
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang", "source").orderBy("off", "doc_id"))).where(F.col("k") <= MOST_NEGATIVES)
+    sources = ranked.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("off", "doc_id", "category"))).alias("own"))
+    near = sources.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.get("own", F.lit(0))))).where(F.col("k") <= MOST_NEGATIVES)
+    others = near.select("lang", "source", F.explode("own").alias("r")).select("lang", "source", "r.category", "r.off", "r.doc_id")
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame.sort_values(["off", "doc_id"]).to_dict("records")
+        left = frame.drop_duplicates("doc_id").sort_values(["off", "doc_id"]).to_dict("records")
         chosen = []
         for category in sorted({r["category"] for r in left}):
             chosen.append(next(r for r in left if r["category"] == category))
-        while len(chosen) < 6 and len(chosen) < len(left):
+        while len(chosen) < MOST_NEGATIVES and len(chosen) < len(left):
             rest = [r for r in left if r not in chosen]
             chosen.append(min(rest, key=lambda r: (sum(c["source"] == r["source"] for c in chosen), r["off"], r["doc_id"])))
-        return pd.DataFrame([(r["lang"], r["doc_id"]) for r in chosen[:6]], columns=["lang", "doc_id"])
+        return pd.DataFrame([(r["lang"], r["doc_id"]) for r in chosen[:MOST_NEGATIVES]], columns=["lang", "doc_id"])
 
-    return best.groupBy("lang").applyInPandas(pick, "lang string, doc_id long")
+    return leads.unionByName(others).groupBy("lang").applyInPandas(pick, "lang string, doc_id long")
+
+
+@plans("g13_hard_negative_pick")
+def g13(spark, sf):
+    """One of each category, then up to six with as few repeats of a source as can be."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, sf, "labels").where("quality = 0 OR toxic = 1"), "doc_id")
+    return hard_negatives(docs.select("doc_id", "source", "lang", F.concat("quality", F.lit("/"), "toxic").alias("category"), F.abs(F.col("n_chars") - 1200).alias("off")))
 
 
 @plans("g14_greedy_batches")

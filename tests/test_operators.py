@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import coverage, text, vectors
 from skein.operators.components import components
 from skein.operators.similarity import similar_pairs
+from skein.plans.selecting import hard_negatives
 
 
 def test_components_of_a_small_graph(spark):
@@ -47,3 +48,22 @@ def test_normalisers(spark):
     row = spark.createDataFrame([("Māyā’s  Re-al_ity ﬁ ß", None)], "t string, n string")
     r = row.select(text.strip_marks("t"), text.compose_terms("t"), text.search_text("t"), text.search_text("n")).first()
     assert tuple(r) == ("mayas re-al_ity fi ss", "māyā s re al_ity fi ss", "mayas re al_ity fi ss", None)
+
+
+def brute_negatives(rows):
+    left = sorted(rows, key=lambda r: (r[4], r[0]))
+    chosen = [next(r for r in left if r[3] == c) for c in sorted({r[3] for r in left})]
+    while len(chosen) < min(6, len(left)):
+        chosen.append(min((r for r in left if r not in chosen), key=lambda r: (sum(c[1] == r[1] for c in chosen), r[4], r[0])))
+    return {(r[2], r[0]) for r in chosen}
+
+
+def test_hard_negatives_against_brute_force(spark):
+    """A hot source of equal copies, few sources, many sources."""
+    rng = random.Random(3)
+    rows = [(i, "hot", "en", "0/0", 5) for i in range(40)] + [(40 + i, f"s{i}", "en", "0/0", 10 + i) for i in range(8)] + [(60, "hot", "en", "1/1", 90)]
+    for k in range(12):
+        rows += [(100 * (k + 1) + i, f"s{rng.randrange(1 + k)}", f"l{k}", rng.choice(("0/0", "0/1", "1/1")), rng.randrange(9)) for i in range(rng.choice((3, 30, 90)))]
+    got = hard_negatives(spark.createDataFrame(rows, "doc_id long, source string, lang string, category string, off long")).collect()
+    want = set().union(*(brute_negatives([r for r in rows if r[2] == lang]) for lang in {r[2] for r in rows}))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
