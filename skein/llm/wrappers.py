@@ -4,12 +4,13 @@ Each page is a tree of block elements. Runs of siblings with the same signature
 node, so the tree is a skeleton that many pages share; text is held by its nodes, the slots. For each host the skeleton
 of most pages is its wrapper, and every other skeleton is aligned with it by simple tree matching: two nodes match only
 if their signatures do, and the matching of their children in order that has the most matched nodes is found by dynamic
-programming. Over all pages of the host, a slot whose text is the same on most of them is template; varying slots are
+programming. Over all different pages of the host, a slot whose text is the same on most of them is template, unless a
+page's article would be left without content; varying slots are
 content, unless most of their text is links or they lie in a part that is a menu, header, footer, sidebar, notice,
 advert, form or list of comments by its element, role or class names. Where pages have an article or main element,
 content is what lies in it. Nodes that match nothing are judged by their place alone.
 
-Statistics are summed in each task before they are shuffled; no host's pages meet in one task.
+Of each different page, digests of its texts are shuffled and summed; no host's pages meet in one task.
 
 Defined results. Null or empty page: empty text. Null address: the host is empty. Rows with the same id are pages each.
 An empty table gives an empty result. A host with few pages has no template by constancy.
@@ -191,7 +192,8 @@ def _digest(text: str) -> int:
 
 
 class _Statistics:
-    """Counts by host, skeleton, slot and the slot's text on a page; slot -1 stands for the page and has the skeleton."""
+    """Each page that differs from the host's others in the task: its skeleton, and by slot the text's digest, characters
+    and characters in links. The first page of a skeleton has the skeleton as text."""
 
     LIMIT = 50_000
 
@@ -199,42 +201,45 @@ class _Statistics:
         self._new()
 
     def _new(self) -> None:
-        self.counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-        self.plain: dict[int, str] = {}
+        self.pages: dict[tuple[str, int, int], tuple] = {}
+        self.plain: set[tuple[str, int]] = set()
+        self.size = 0
 
     def __call__(self, rows):
         for host, page in zip(rows["host"], rows["html"], strict=True):
             plain, blocks = read(page)
             skeleton = _digest(plain)
-            self.plain[skeleton] = plain
-            self.counts[host, skeleton, -1, 0][0] += 1
+            key = (host, skeleton, _digest(json.dumps(blocks)))
+            if key in self.pages:
+                continue
             slots: dict[int, list] = defaultdict(lambda: [[], 0, 0])
             for slot, text, linked in blocks:
                 own = slots[slot]
                 own[0].append(text)
                 own[1] += len(text)
                 own[2] += linked
-            for slot, (texts, chars, linked) in slots.items():
-                into = self.counts[host, skeleton, slot, _digest("\n".join(texts))]
-                into[0] += 1
-                into[1] += chars
-                into[2] += linked
-        return self.finish() if len(self.counts) > self.LIMIT else None
+            first = (host, skeleton) not in self.plain
+            self.plain.add((host, skeleton))
+            self.pages[key] = (list(slots), [_digest("\n".join(v[0])) for v in slots.values()], [v[1] for v in slots.values()], [v[2] for v in slots.values()], plain if first else None)
+            self.size += 1 + len(slots)
+        return self.finish() if self.size > self.LIMIT else None
 
     def finish(self):
-        keys, values = list(self.counts), list(self.counts.values())
-        out = {c: [k[i] for k in keys] for i, c in enumerate(("host", "skeleton", "slot", "text_hash"))}
-        out |= {c: [v[i] for v in values] for i, c in enumerate(("pages", "chars", "linked"))}
-        out["plain"] = [self.plain[k[1]] if k[2] < 0 else None for k in keys]
+        out = {c: [k[i] for k in self.pages] for i, c in enumerate(("host", "skeleton", "page"))}
+        out |= {c: [v[i] for v in self.pages.values()] for i, c in enumerate(("slot", "text_hash", "chars", "linked", "plain"))}
         self._new()
         return out
 
 
 def _wrappers(rows: DataFrame) -> DataFrame:
-    """host, skeleton, kept (numbers of the slots that are content) for every skeleton of every host."""
-    schema = "host string, skeleton long, slot int, text_hash long, pages long, chars long, linked long, plain string"
-    counts = cut(map_rows(rows.select("host", "html"), _Statistics, schema).groupBy("host", "skeleton", "slot", "text_hash").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")], F.max("plain").alias("plain")))
-    skeletons = counts.where("slot = -1").select("host", "skeleton", "plain", "pages")
+    """host, skeleton, kept (numbers of the slots that are content) and spared (see ``judged``) for every skeleton of
+    every host. Pages with the same skeleton and texts count once: copies do not make a text template."""
+    schema = "host string, skeleton long, page long, slot array<int>, text_hash array<long>, chars array<long>, linked array<long>, plain string"
+    lists = ("slot", "text_hash", "chars", "linked")
+    different = cut(map_rows(rows.select("host", "html"), _Statistics, schema).groupBy("host", "skeleton", "page").agg(*[F.first(c).alias(c) for c in lists], F.max("plain").alias("plain")))
+    skeletons = cut(different.groupBy("host", "skeleton").agg(F.max("plain").alias("plain"), F.count("*").alias("pages")))
+    each = different.select("host", "skeleton", F.explode(F.arrays_zip(*lists)).alias("s")).select("host", "skeleton", "s.*")
+    counts = each.groupBy("host", "skeleton", "slot", "text_hash").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("chars", "linked")])
     chosen = skeletons.groupBy("host").agg(F.max_by("plain", F.struct("pages", "skeleton")).alias("wrapper"), F.sum("pages").alias("host_pages"))
 
     def make_match():
@@ -253,7 +258,7 @@ def _wrappers(rows: DataFrame) -> DataFrame:
         return run
 
     matched = cut(map_rows(skeletons.join(chosen, "host").select("host", "skeleton", "plain", "wrapper"), make_match, "host string, skeleton long, places array<int>"))
-    placed = counts.where("slot >= 0").join(matched, ["host", "skeleton"]).select("host", F.get("places", F.col("slot")).alias("place"), "text_hash", "pages", "chars", "linked").where("place >= 0")
+    placed = counts.join(matched, ["host", "skeleton"]).select("host", F.get("places", F.col("slot")).alias("place"), "text_hash", "pages", "chars", "linked").where("place >= 0")
     texts = placed.groupBy("host", "place", "text_hash").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
     slots = texts.groupBy("host", "place").agg(F.max("pages").alias("top"), *[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
     # A wrapper has a bounded number of places, whatever the number of its pages.
@@ -262,27 +267,33 @@ def _wrappers(rows: DataFrame) -> DataFrame:
 
     def make_labels():
         def run(rows):
-            out: dict[str, list] = {"host": rows["host"], "skeleton": rows["skeleton"], "kept": []}
+            out: dict[str, list] = {"host": rows["host"], "skeleton": rows["skeleton"], "kept": [], "spared": []}
             for plain, places, facts_of in zip(rows["plain"], rows["places"], rows["facts"], strict=True):
-                out["kept"].append(content_slots(_restore(json.loads(plain)), places, {f["place"]: f for f in facts_of or ()}))
+                kept, spared = judged(_restore(json.loads(plain)), places, {f["place"]: f for f in facts_of or ()})
+                out["kept"].append(kept)
+                out["spared"].append([{"slot": slot, "unless": unless} for slot, unless in spared])
             return out
 
         return run
 
-    return map_rows(joined, make_labels, "host string, skeleton long, kept array<int>")
+    return map_rows(joined, make_labels, "host string, skeleton long, kept array<int>, spared array<struct<slot:int,unless:array<int>>>")
 
 
-def content_slots(root: Skeleton, places: list[int], facts: dict[int, dict]) -> list[int]:
-    """The slots of a skeleton that are content by their place and by what the host's pages have there."""
+def judged(root: Skeleton, places: list[int], facts: dict[int, dict]) -> tuple[list[int], list[tuple[int, list[int]]]]:
+    """The slots of a skeleton that are content by their place and by what the host's pages have there, and those of
+    articles that are constant, each with the content slots of its article: it is content on a page with none of them."""
     nodes = _number(root)
     inside: dict[int, str] = {0: ""}
+    # The articles that a node lies in, the innermost last.
+    articles: dict[int, tuple[int, ...]] = {0: ()}
     for node in nodes:
         for child in node.children:
             # A header inside an article is the article's own.
             own = "" if child.sign.startswith("header!") and "a" in inside[node.number] else child.flags
             inside[child.number] = inside[node.number] + own
+            articles[child.number] = (*articles[node.number], child.number) if "a" in own else articles[node.number]
     has_article = any("a" in x and "x" not in x for x in inside.values())
-    kept = []
+    kept, constant = [], []
     for node in nodes:
         where = inside[node.number]
         if "x" in where or (has_article and "a" not in where):
@@ -291,11 +302,17 @@ def content_slots(root: Skeleton, places: list[int], facts: dict[int, dict]) ->
         if fact:
             share, pages = (ARTICLE_SHARE, ARTICLE_PAGES) if "a" in where else (SHARE, PAGES)
             if fact["pages"] >= pages and fact["top"] >= share * fact["pages"]:
+                if "a" in where:
+                    constant.append(node.number)
                 continue
             if "a" not in where and fact["linked"] > LINKS * fact["chars"]:
                 continue
         kept.append(node.number)
-    return kept
+    return kept, [(n, [k for k in kept if articles[n][-1] in articles[k]]) for n in constant]
+
+
+def content_slots(root: Skeleton, places: list[int], facts: dict[int, dict]) -> list[int]:
+    return judged(root, places, facts)[0]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -318,6 +335,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if labels.count() <= BROADCAST_SKELETONS:
         labels = F.broadcast(labels)
     both = parsed.join(labels, ["host", "skeleton"])
+    found = F.transform("blocks", lambda b: b["slot"])
+    spared = F.transform(F.filter("spared", lambda s: ~F.arrays_overlap(s["unless"], found)), lambda s: s["slot"])
+    both = both.withColumn("kept", F.concat("kept", spared))
     kept = F.filter("blocks", lambda b: F.array_contains(F.col("kept"), b["slot"]))
     return both.select("page_id", "url", F.transform(kept, lambda b: b["text"]).alias("blocks"))
 

@@ -154,6 +154,26 @@ def test_wrapper_tells_template_from_content(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(k, f"http://c.com/{k}", f"<html><body>{p}</body></html>") for k, p in enumerate(pages)]
+    return {r.page_id: "\n".join(r.blocks) for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_copies_do_not_make_main_text_template(spark):
+    few = ["<div><p>Copied main text</p></div>"] * 2 + [f"<div><p>Text {k}</p></div>" for k in range(2)]
+    assert extracted(spark, few)[0] == "Copied main text"
+    many = ["<article><p>Copied main text</p></article>"] * 60 + [f"<article><p>Text {k}</p></article>" for k in range(3)]
+    got = extracted(spark, many)
+    assert all(got[k] == "Copied main text" for k in range(60)) and got[60] == "Text 0"
+
+
+def test_no_article_is_left_without_content(spark):
+    got = extracted(spark, [f"<article><p>Constant text</p></article><p>Beside {k}</p>" for k in range(30)])
+    assert set(got.values()) == {"Constant text"}
+    got = extracted(spark, [f"<article><h1>Title {k}</h1><p>Constant text</p></article>" for k in range(30)])
+    assert got == {k: f"Title {k}" for k in range(30)}
+
+
 def test_tree_matching_is_the_largest():
     def tree(plain):
         root = wrappers._restore(plain)
