@@ -10,8 +10,8 @@ counts as at most ``EFFECTIVE`` independent n-grams, as neighbours are not indep
 
 Defined results. Null or empty text: the other evidence decides. Null or unknown declarations, codes and hosts: no such
 evidence. Ties: the first language in alphabetical order. Rows that repeat an id are judged each. Without labelled
-documents, the language is null. An empty table gives an empty result. There are at most ``LANGUAGES`` languages, the
-most frequent labels.
+documents, the language is null. An empty table gives an empty result. Every label that occurs is a language. The
+declared language is the one of the page's first html element, wherever it stands.
 """
 
 from __future__ import annotations
@@ -24,19 +24,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrow import map_rows
+from skein.llm.dom import Node, parse
 from skein.llm.wordcache import WordCache
-from skein.llm.wrappers import HOST, content_slots, read
+from skein.llm.wrappers import HOST, content_slots, read_tree
 from skein.sources.scratch import cut
 from skein.sources.tables import table
 
-SAMPLE, LANGUAGES = 1000, 64
+SAMPLE = 1000
 BUCKETS = 1 << 16
 EFFECTIVE = 60.0
 PRIOR_WEIGHT = 20.0
 COUNT_WEIGHT = 1.0
 CACHE_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.IGNORECASE)
+DECLARED = re.compile(r"\s*([a-zA-Z]{2,3})")
 CODE = r"^[^?#]*//[^/?#]*/(?:[^?#]*/)?([a-z]{2})(?:[/?#]|$)"
 
 
@@ -80,9 +81,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", label_c
     """The model of the labelled documents. What the driver gets is at most ``sample`` texts a language, each cut for
     this purpose to 20,000 characters."""
     labelled = docs.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    top = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    every = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     rows: list[tuple[str, str]] = []
-    for lang in top:  # each a distributed top-k: no window over a language's rows
+    for lang in every:  # each a distributed top-k: no window over a language's rows
         own = labelled.where(F.col("lang") == lang).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text"))
         rows += [(r["lang"], r["text"]) for r in own.orderBy("h", "text").limit(sample).collect()]
     return fit(rows)
@@ -97,28 +98,42 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("id"), host.alias("host"), F.when(code != "", F.concat(F.lit("path:"), code)).when(ending != "", F.concat(F.lit("end:"), ending)).alias("code"), F.col("html").alias("raw"))
 
 
-def _main_text(page: str) -> str:
+def _declared(root: Node) -> str | None:
+    """The language of the first html element."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "html":
+            m = DECLARED.match(node.attributes.get("lang") or node.attributes.get("xml:lang") or "")
+            return m and m[1].lower()
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return None
+
+
+def _page(page: str) -> tuple[str | None, str]:
+    """The declared language and the main text."""
     import json
 
     from skein.llm.wrappers import _restore
 
-    plain, blocks = read(page)
+    tree = parse(page)
+    plain, blocks = read_tree(tree)
     root = _restore(json.loads(plain))
     kept = set(content_slots(root, [-1] * (plain.count("[") // 2 + 1), {}))
-    return "\n".join(text for slot, text, _ in blocks if slot in kept) or "\n".join(text for _, text, _ in blocks)
+    return _declared(tree), "\n".join(text for slot, text, _ in blocks if slot in kept) or "\n".join(text for _, text, _ in blocks)
 
 
 def evidence(rows: DataFrame, model: np.ndarray, markup: bool) -> DataFrame:
     """id, host, code, declared and the log likelihoods of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES numbers at most
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def make():
         score = Likelihood(shared.value)
 
         def run(batch):
             raw = [x or "" for x in batch["raw"]]
-            declared = [(m := DECLARED.search(x[:4096])) and m[1].lower() for x in raw] if markup else [None] * len(raw)
-            return {"id": batch["id"], "host": batch["host"], "code": batch["code"], "declared": declared, "scores": [score(_main_text(x) if markup else x) for x in raw]}
+            pages = [_page(x) if markup else (None, x) for x in raw]
+            return {"id": batch["id"], "host": batch["host"], "code": batch["code"], "declared": [d for d, _ in pages], "scores": [score(x) for _, x in pages]}
 
         return run
 

@@ -147,7 +147,10 @@ def _restore(plain: list) -> Skeleton:
 
 def read(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
     """The skeleton of a page, as text, and its blocks: slot, text, characters in links."""
-    root = parse(page or "")
+    return read_tree(parse(page or ""))
+
+
+def read_tree(root: Node) -> tuple[str, list[tuple[int, str, int]]]:
     folded = _fold("#root", [root], "")
     _number(folded)
     blocks: list[tuple[int, str, int]] = []

@@ -235,3 +235,14 @@ def test_language_edges(spark):
     assert langid.fuse(langid.evidence(langid.page_rows(empty), np.zeros((langid.BUCKETS, 2), np.float32), True), ["a", "b"]).count() == 0
     odd = spark.createDataFrame([(1, None, None), (None, "http://h.de/x", "<html lang=fr>")], "page_id long, url string, html string")
     assert langid.fuse(langid.evidence(langid.page_rows(odd), np.zeros((langid.BUCKETS, 2), np.float32), True), ["a", "b"]).count() == 2
+
+
+def test_declaration_is_found_anywhere():
+    late = [f"<!-- {'x ' * 4000} --><html lang='fr'><p>a</p></html>", f"{' ' * 9000}<HTML class=b xml:lang=de-AT><p>a</p>", f"<script>'<html lang=en>' {'y ' * 4000}</script><html lang=it><p>a</p>", "<p>a</p>"]
+    assert [langid._page(x) for x in late] == [("fr", "a"), ("de", "a"), ("it", "a"), (None, "a")]
+
+
+def test_no_label_is_dropped(spark):
+    labels = sorted(f"l{k:02}" for k in range(66))
+    docs = spark.createDataFrame([(x, f"text {x}") for x in labels], "lang string, text string").coalesce(1).cache()
+    assert langid.train(docs)[0] == labels
