@@ -81,7 +81,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     at = F.sort_array(F.transform(repeated, lambda x: x["i"]))
     # Windows overlap: each adds the words that the one before it has not covered.
     covered = F.aggregate(at, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")))["n"]
-    return windows.select(*(c for c in windows.columns if c != "_sorted"), covered.alias("n_repeat_words"))
+    counts = [*(F.col(c).alias(c) for c in windows.columns if c not in (*kept, "_sorted")), covered.alias("n_repeat_words")]
+    # A filter on the counts stays above a generator. Below, it would compute the sorted windows anew for each of them.
+    return windows.select(*kept, F.inline(F.array(F.struct(*counts))))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
