@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.sources.scratch import cut
+from skein.sources.scratch import cut, discard
 
 
 def _jumped(parents: DataFrame) -> DataFrame:
@@ -14,9 +14,10 @@ def _jumped(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         further = cut(parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
-        parents = further.select("node", "parent")
+        discard(parents)
         if further.where("moved").isEmpty():
-            return parents
+            return further.select("node", "parent")
+        parents = further
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,5 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = roots.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
         high = roots.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
         contracted = pairs.join(low, "a").join(high, "b").where("ra <> rb")
-        pairs = cut(contracted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        rest = cut(contracted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(pairs)
+        pairs = rest
     return labels

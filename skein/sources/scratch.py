@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of tables that are cut, by the innermost scope that is open.
+_SCOPES: list[list[str]] = []
+
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder under the one that spark.checkpoint.dir names. Only where that is unset, as in local tests, is one made
-    here."""
+    """A folder under the one that spark.checkpoint.dir names. Only a local session that names none, as in tests, gets
+    one here; a cluster without it is an error, as its machines would not see each other's files."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "skein-scratch"))
     return f"{context.getCheckpointDir()}/tables"
 
@@ -27,12 +34,37 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that have been cut, once nothing reads them any more. Other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "scratch_path", None):
+            delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Everything that is cut inside is deleted at the end: write what depends on it before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what has been cut in this session, once its results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, scratch_folder(spark))
