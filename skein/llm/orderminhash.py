@@ -2,50 +2,53 @@
 
 A text is the sequence of its five-word shingles, each labelled with how many equal ones came before it. A sketch entry
 takes the ``KEEP`` labelled shingles that are least under one hash function and keeps them in the order of the text;
-texts that share most shingles in the same order share entries. Short texts (up to ``SHORT`` shingles) have entries of
-3, long ones of 5, and those of a length that may be near either have both. At a similarity of 0.8, the chance that two
-texts share no entry is under 1e-6.
-
-Similarity of two texts: M labelled shingles can be aligned in order, of n1 and n2; it is M / (n1 + n2 - M). Candidates
-are verified by that alignment in the band that a similarity of 0.8 leaves. As labels are unique in a text, it is a
-longest increasing subsequence of matched places.
-
-Candidates without all pairs. Copies count once. In each bucket of an entry, all members are compared with the least
-one; verified links give components. While a bucket has members of several components, more of its members are compared
-with all others of other components and then leave it: in the first two turns some of its largest component, which
-most members join, then some of the others, until one component is left. Inside a component nothing more has to be
-compared; no pair of different components that share a bucket goes without. So no link between classes is lost, and
-large groups of near copies cost a few comparisons a member.
-
-Defined results. Null or empty text: no shingles; all such texts are copies of each other. A text of under five words
-has one shingle. Null ids are one id, the least number; rows that share an id are one document. An empty table gives an
-empty result.
+texts that share most shingles in the same order share entries. Short texts (up to ``SHORT`` words) have entries of 3,
+long ones of 5, and those of a length that may be near either have both.
+
+Similarity of two texts is that of their words: M can be aligned in order, of n1 and n2; it is M / (n1 + n2 - M), and
+0.8 or more is a link. Candidates are verified by that alignment, in the band that a similarity of 0.8 leaves. Words
+are compared by 32-bit hashes. Texts whose shingles agree to 0.8 always have words that do, and share no entry with a
+chance under 1e-6; texts that only their words make similar, with edits spread evenly, share one less surely (recall is
+in the README).
+
+Candidates without all pairs. Rows of equal text are one node. In each bucket of an entry, all members are compared with
+the least one, each first with the least of all its leads. Verified links give components. While a bucket has members
+of several components, more of its members are compared with all others of other components and then leave it: first
+some of its largest component, then some of the others, then all that are left. Inside a component nothing has to be
+compared; no pair of different components that share a bucket goes without, so no link between classes is lost.
+
+Defined results. Null or empty text: no words; all such texts are copies of each other. A text of under five words has
+one shingle. Rows are told apart by id and text: rows that share an id, or have none, are different documents if their
+texts differ, and repeats of one document if not. The least id names a class; nulls come last, and a class of rows
+without ids is named by a hash of a text. An empty table gives an empty result. Texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrow import map_rows
-from skein.llm.shingles import family, labelled, shingles
+from skein.llm.shingles import family, labelled, shingles, word_hashes
 from skein.operators.components import components
-from skein.sources.scratch import cut
+from skein.sources.scratch import cut, discard
 from skein.sources.tables import table
 
 SIMILARITY = 0.8
 #: Entries for short and for long texts: shingles kept, number of hash functions.
 SHORT_KEEP, SHORT_ENTRIES = 3, 28
 LONG_KEEP, LONG_ENTRIES = 5, 40
-SHORT = 64
-#: Turns in which members of the largest component of a bucket are compared with the others, and of how many at once;
-#: later, of how many of the others.
+SHORT = 68
+#: How many of the largest component of a bucket are compared with the others, in so many turns; then of the others.
 MAJOR_TURNS, MAJOR_AT_ONCE, MINOR_AT_ONCE = 2, 4, 16
-NO_ID = -(1 << 63)
+#: Texts that a task remembers, so that it sends a frequent one once.
+REMEMBERED = 200_000
+#: Words between two moves of the alignment's window.
+STEP = 256
 
 
 def _entries(labels: np.ndarray, keep: int, count: int, seed: int) -> list[int]:
@@ -68,9 +71,11 @@ def _entries(labels: np.ndarray, keep: int, count: int, seed: int) -> list[int]:
     return out
 
 
-def sketch(labels: np.ndarray) -> list[int]:
-    n = len(labels)
+def sketch(words: np.ndarray) -> list[int]:
+    """Entries of a text, given the hashes of its words."""
+    n = len(words)
     out: list[int] = []
+    labels = labelled(shingles(words))
     if n and n * SIMILARITY <= SHORT:
         out += _entries(labels, SHORT_KEEP, SHORT_ENTRIES, 1)
     if n > SHORT:
@@ -78,22 +83,41 @@ def sketch(labels: np.ndarray) -> list[int]:
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
-    """How many of the labels of a and b match in order, if at least ``least``; a lower number otherwise."""
-    _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(p) < least:
-        return 0
-    band = len(a) + len(b) - 2 * least
-    inside = np.abs(p - q) <= band
-    p, q = p[inside], q[inside]
-    q = q[np.argsort(p)]
-    if len(q) < 2 or (np.diff(q) > 0).all():
-        return len(q)
-    tails: list[int] = []
-    for x in q.tolist():
-        k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return len(tails)
+def aligned(a: list[int], b: list[int], low: int, high: int) -> int:
+    """The most pairs of equal places i of a and j of b, in order in both, with -low <= i - j <= high.
+
+    One bit stands for each place of a that the band of the next STEP places of b reaches; a cleared bit is one more
+    pair. So a step costs the width of the band, not the length of the text."""
+    places: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(a):
+        places[w].append(i)
+    base = top = v = count = 0
+    for j, w in enumerate(b):
+        if j % STEP == 0:
+            drop = min(max(j - low - base, 0), top - base)
+            count += drop - (v & ((1 << drop) - 1)).bit_count()
+            v >>= drop
+            base += drop
+            reach = max(top, min(len(a), j + STEP + high + 1))
+            v |= ((1 << (reach - top)) - 1) << (top - base)
+            top = reach
+        at = places.get(w)
+        if at is None:
+            continue
+        found = 0
+        for p in at[bisect_left(at, max(j - low, base)) : bisect_right(at, j + high)]:
+            found |= 1 << (p - base)
+        if found:
+            u = v & found
+            v = ((v + u) | (v - u)) & ((1 << (top - base)) - 1)
+    return count + (top - base) - v.bit_count()
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many places agree from the start."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -101,46 +125,77 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
         return len(a) == len(b)
     # M / (n - M) >= s: M >= s n / (1 + s), in whole numbers.
     least = int(np.ceil(similarity * (len(a) + len(b)) / (1 + similarity) - 1e-9))
-    return min(len(a), len(b)) >= least and aligned(a, b, least) >= least
+    if min(len(a), len(b)) < least:
+        return False
+    # What both start and end with is part of a best alignment.
+    same = _agreeing(a, b)
+    a, b, least = a[same:], b[same:], least - same
+    same = _agreeing(a[::-1], b[::-1])
+    a, b, least = a[: len(a) - same], b[: len(b) - same], least - same
+    if least <= 0 or min(len(a), len(b)) < least:
+        return least <= 0
+    return aligned(a.tolist(), b.tolist(), len(b) - least, len(a) - least) >= least
+
+
+def node_of(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def once(nodes: list, seen: set) -> list[int]:
+    """The places of those nodes that this task has not met. What it remembers is bounded."""
+    out = []
+    for k, node in enumerate(nodes):
+        if node not in seen:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(node)
+            out.append(k)
+    return out
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame) -> DataFrame:
+    """node, number of words and entries, one row a node."""
+
     def make():
+        seen: set = set()
+
         def run(rows):
-            out: dict[str, list] = {"node": [], "copy": [], "n": [], "entries": []}
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                labels = labelled(shingles((text or "").split()))
-                out["node"].append(NO_ID if doc_id is None else doc_id)
-                out["copy"].append(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                out["n"].append(len(labels))
-                out["entries"].append(sketch(labels))
+            out: dict[str, list] = {"node": [], "n": [], "entries": []}
+            for k in once(rows["node"], seen):
+                words = word_hashes((rows["text"][k] or "").split())
+                out["node"].append(rows["node"][k])
+                out["n"].append(len(words))
+                out["entries"].append(sketch(words))
             return out
 
         return run
 
-    return map_rows(docs.select("doc_id", "text"), make, "node long, copy binary, n int, entries array<long>")
+    return map_rows(texts, make, "node long, n int, entries array<long>").dropDuplicates(["node"])
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
-    """node and its labels, eight bytes each."""
+def _sequences(texts: DataFrame) -> DataFrame:
+    """node and its words, four bytes each."""
 
     def make():
+        seen: set = set()
+
         def run(rows):
-            return {"node": [NO_ID if x is None else x for x in rows["doc_id"]], "labels": [labelled(shingles((t or "").split())).tobytes() for t in rows["text"]]}
+            at = once(rows["node"], seen)
+            return {"node": [rows["node"][k] for k in at], "words": [(word_hashes((rows["text"][k] or "").split()) >> np.uint64(32)).astype("<u4").tobytes() for k in at]}
 
         return run
 
-    return map_rows(docs, make, "node long, labels binary")
+    return map_rows(texts, make, "node long, words binary")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar. Both sides come by joins that adaptive execution can split."""
-    left = sequences.select(F.col("node").alias("a"), F.col("labels").alias("of_a"))
-    right = sequences.select(F.col("node").alias("b"), F.col("labels").alias("of_b"))
+    left = sequences.select(F.col("node").alias("a"), F.col("words").alias("of_a"))
+    right = sequences.select(F.col("node").alias("b"), F.col("words").alias("of_b"))
 
     def make():
         def run(rows):
-            kept = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(rows["of_a"], rows["of_b"], strict=True)]
+            kept = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(rows["of_a"], rows["of_b"], strict=True)]
             return {c: [v for v, k in zip(rows[c], kept, strict=True) if k] for c in ("a", "b")}
 
         return run
@@ -148,64 +203,112 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return map_rows(pairs.join(left, "a").join(right, "b"), make, "a long, b long")
 
 
-def _candidates(members: DataFrame, leads: DataFrame) -> DataFrame:
-    """Members with the leads of their bucket, if their components differ and their lengths allow a link."""
-    both = members.join(leads.withColumnsRenamed({"node": "lead", "n": "lead_n", "part": "lead_part"}), "key")
-    both = both.where((F.col("part") != F.col("lead_part")) & (F.least("n", "lead_n") >= SIMILARITY * F.greatest("n", "lead_n")))
-    return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+def _near_length(n: str, other: str) -> Column:
+    return F.least(n, other) >= SIMILARITY * F.greatest(n, other)
+
 
+def _with_parts(nodes: DataFrame, labels: DataFrame, *own: tuple[str, str]) -> DataFrame:
+    """The component of each of the given (node, name of it) columns. A node without a label is its own component."""
+    for node, part in own:
+        side = labels.select(F.col("node").alias(node), F.col("component").alias(part))
+        nodes = nodes.join(side, node, "left").withColumn(part, F.coalesce(part, node))
+    return nodes
 
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Components (node, component) after new links (a, b). A node without a row is a component of its own."""
-    ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
-    links = cut(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """Components (node, component) after new links (a, b); None if there has never been one."""
+    if labels is None:
+        return None if found.isEmpty() else components(found)
+    links = cut(_with_parts(found, labels, ("a", "of_a"), ("b", "of_b")).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct())
     if links.isEmpty():
+        discard(links)
         return labels
     roots = components(links).select(F.col("node").alias("own"), F.col("component").alias("root"))
     fresh = roots.join(labels, roots["own"] == labels["node"], "left_anti").select(F.col("own").alias("node"), F.col("own").alias("component"))
-    return cut(labels.unionByName(fresh).join(roots, F.col("component") == F.col("own"), "left").select("node", F.coalesce("root", "component").alias("component")))
+    out = cut(labels.unionByName(fresh).join(roots, F.col("component") == F.col("own"), "left").select("node", F.coalesce("root", "component").alias("component")))
+    discard(links, labels)
+    return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id, the least id of the component that it is in; one row for each row."""
-    docs = docs.select("doc_id", "text")
-    sketches = cut(_sketches(docs))
-    firsts = cut(sketches.groupBy("copy").agg(F.min("node").alias("first")))
-    own = sketches.join(firsts, "copy").select("node", "first", "n", "entries")
-    keyed = own.where("node = first").select("node", "n", F.explode("entries").alias("key")).distinct()
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1"))
-    members = cut(keyed.join(shared.select("key"), "key").select("key", "node", "n", F.col("node").alias("part")))
-    known = members.select(F.col("node").alias("doc_id")).distinct()
-    sequences = cut(_sequences(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(known, "doc_id", "left_semi")))
-    labels = components(sketches.join(firsts, "copy").where("node <> first").select("first", "node"), "first", "node")
-    leads = shared.select("key", "lead.node", "lead.n", F.col("lead.node").alias("part"))
-    turn = 0
+def _compared(pairs: DataFrame, labels: DataFrame | None, sequences: DataFrame) -> DataFrame | None:
+    """Labels after comparing those of the pairs (a, b) that are not yet in one component."""
+    if labels is not None:
+        pairs = _with_parts(pairs, labels, ("a", "of_a"), ("b", "of_b")).where("of_a <> of_b").select("a", "b")
+    pairs = cut(pairs)
+    found = cut(_verified(pairs, sequences))
+    labels = _merged(labels, found)
+    discard(pairs, found)
+    return labels
+
+
+def _candidates(members: DataFrame, leads: DataFrame) -> DataFrame:
+    """Members with the leads of their bucket, if their components differ and their lengths allow a link."""
+    both = members.join(leads.withColumnsRenamed({"node": "lead", "n": "lead_n", "part": "lead_part"}), "key")
+    both = both.where((F.col("part") != F.col("lead_part")) & _near_length("n", "lead_n"))
+    return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def node_classes(texts: DataFrame) -> DataFrame | None:
+    """node, component for the nodes (of node, text) that are linked to others; None if there is no link."""
+    sketches = cut(_sketches(texts))
+    keyed = sketches.select("node", "n", F.explode("entries").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node <> last").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    members = cut(keyed.join(shared, "key").select("key", "node", "n", "lead", "lead_n"))
+    discard(sketches, shared)
+    known = members.select("node").distinct()
+    sequences = cut(_sequences(texts).join(known, "node", "left_semi").dropDuplicates(["node"]))
+    pairs = cut(members.where("node <> lead").where(_near_length("n", "lead_n")).select("node", "lead").distinct())
+    labels = _compared(pairs.groupBy("node").agg(F.min("lead").alias("a")).select("a", F.col("node").alias("b")), None, sequences)
+    labels = _compared(pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")), labels, sequences)
+    discard(pairs)
+    left = members.where("node <> lead").select("key", "node", "n")
+    turn, last = 0, members
     while True:
-        labels = _merged(labels, cut(_verified(cut(_candidates(members, leads)), sequences)))
-        # The leads have met all others of their buckets. Buckets that are left with one component are done.
-        rest = members.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
-        rest = cut(rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
-        sizes = rest.groupBy("key", "part").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major")).where("parts > 1")
+        # Leads have met all others of their buckets. Buckets that are left with one component are done.
+        rest = left.select("key", "node", "n", F.col("node").alias("part")) if labels is None else _with_parts(left, labels, ("node", "part"))
+        rest = cut(rest)
+        mixed = rest.groupBy("key", "part").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major")).where("parts > 1")
         members = cut(rest.join(cut(mixed.select("key", "major")), "key"))
+        discard(last, rest)
+        last = members
         if members.isEmpty():
             break
         turn += 1
+        if turn > MAJOR_TURNS + 1:  # all that are left: those outside the largest component with all others
+            leads = members.where("part <> major").select("key", "node", "n", "part")
+            labels = _compared(_candidates(members, leads), labels, sequences)
+            break
         of_major = turn <= MAJOR_TURNS
         pool = members.where("part = major" if of_major else "part <> major")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(MAJOR_AT_ONCE if of_major else MINOR_AT_ONCE))
-        chosen = pool.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("part", "node", "n")).alias("lead"))
-        leads = cut(chosen.select("key", "lead.node", "lead.n", "lead.part"))
-    rows = sketches.select("node").join(labels, "node", "left")
-    return rows.select(F.when(F.col("node") != NO_ID, F.col("node")).alias("doc_id"), F.coalesce("component", "node").alias("class_id"))
+        leads = cut(pool.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("part", "node", "n")).alias("lead")).select("key", "lead.node", "lead.n", "lead.part"))
+        labels = _compared(_candidates(members, leads), labels, sequences)
+        left = members.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
+    discard(sequences)
+    return labels
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, node (hash of the text), class_id, kept: one row for each row. Of a class, the least document is kept."""
+    texts = docs.select("doc_id", node_of().alias("node"), "text")
+    labels = node_classes(texts.select("node", "text"))
+    rows = texts.select("doc_id", "node")
+    rows = rows.withColumn("part", F.col("node")) if labels is None else _with_parts(rows, labels, ("node", "part"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    firsts = cut(rows.groupBy("part").agg(F.min(order).alias("first")))
+    named = rows.join(firsts, "part")
+    return named.select("doc_id", "node", F.coalesce("first.doc_id", "part").alias("class_id"), (order == F.col("first")).alias("kept"))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("class_id")).alias("kept"))
+    """One row a document. ``kept`` is true for one document of each class (for all its repeats, if rows agree in id and
+    text)."""
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class."""
-    kept = classes(docs).where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("class_id")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == kept["kept_id"], "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """The least document of each class, once. Repeats meet in partial sums before the shuffle."""
+    own = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    kept = classes(docs).where("kept").select(*own, F.col("node").alias("_node")).distinct()
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *own, node_of().alias("_node"))
+    return rows.dropDuplicates(["_id", "_none", "_node"]).join(kept, ["_id", "_none", "_node"], "left_semi").select("doc_id", "text", "lang", "source", "n_chars")

@@ -25,11 +25,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S29)
 
 
-def shingles(words: list[str], size: int = WORDS) -> np.ndarray:
-    """A hash for each run of ``size`` words; one for all of fewer words; none for no words."""
-    if not words:
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
+
+
+def shingles(words: list[str] | np.ndarray, size: int = WORDS) -> np.ndarray:
+    """A hash for each run of ``size`` words (or hashes of words); one for all of fewer words; none for no words."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
+    h = words if isinstance(words, np.ndarray) else word_hashes(words)
     size = min(size, len(words))
     n = len(words) - size + 1
     out = h[:n].copy()
