@@ -11,9 +11,11 @@ documents that have e.
 Statistics cover all documents. Counts are made in each task before they are shuffled; terms that are no candidates are
 kept out of the shuffle by a bitmap of fixed size (128 KiB), which only passes more when it fills.
 
-Defined results. Null text: empty. Empty texts have no spans. Rows that repeat an id are joined by it: each gets the
-terms of all of them. Base spans may overlap across kinds and are all reported; a term never overlaps a base span. An
-empty table gives an empty result.
+A generalised term becomes its kind: a name, an acronym or another term, by its letters.
+
+Defined results. Null text: empty. Empty texts have no spans. Ids take no part, so null and repeated ones change
+nothing: every row is a document. Base spans may overlap across kinds and are all reported; a term never overlaps a base
+span. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +36,8 @@ from skein.sources.tables import table
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match from within a run of digits is one from its start, so only those are tried: linear on any text.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -91,46 +95,61 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
-def _free_terms(text: str, lo: int, hi: int, taken: list[tuple[int, int]]):
-    """Terms of text[lo:hi] that no base span overlaps: term, start, end."""
-    for m in TERM.finditer(text, lo, hi):
-        if not any(s < m.end() and m.start() < e for s, e in taken):
-            yield m[0].lower(), m.start(), m.end()
+def free_terms(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Terms that no base span overlaps: term, start, end. One pass over terms and spans in order."""
+    out, taken, k, covered = [], sorted(taken), 0, 0
+    for m in TERM.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            covered = max(covered, taken[k][1])
+            k += 1
+        if covered <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
 
 
 def contexts(text: str):
-    """For each base span: its entity, the terms near it and a digest of them in order."""
+    """For each base span: its entity, the NEAR terms before and after it on its line, and a digest of them in order."""
     spans = base_spans(text)
-    taken = sorted(x for own in spans.values() for x in own)
+    taken = [x for own in spans.values() for x in own]
+    if not taken:
+        return
+    terms = free_terms(text, taken)
+    starts = [s for _, s, _ in terms]
     for kind, own in spans.items():
         for start, end in own:
             lo = text.rfind("\n", 0, start) + 1
             hi = text.find("\n", end)
-            # Terms are letters and at least one other character apart: the window is bounded for any line.
-            close = [x for x in taken if x[1] > start - 4096 and x[0] < end + 4096]
-            left = [t for t, _, _ in _free_terms(text, max(lo, start - 1024), start, close)][-NEAR:]
-            right = [t for t, _, _ in _free_terms(text, end, min(len(text) if hi < 0 else hi, end + 1024), close)][:NEAR]
+            at, after = bisect_left(starts, start), bisect_left(starts, end)
+            left = [t for t, s, _ in terms[max(0, at - NEAR) : at] if s >= lo]
+            right = [t for t, _, e in terms[after : after + NEAR] if hi < 0 or e <= hi]
             yield entity(kind, text[start:end]), left + right, int.from_bytes(hashlib.blake2b(" ".join([*left, "|", *right]).encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """One row a document and entity: entity, terms near it, digest of the context."""
+    """Of each document its entities and their different contexts: node (hash of the text), entity, whether it is the
+    first context of the entity, terms near it and whether each is new for the entity, digest of the context."""
 
     def make():
         def run(rows):
-            out = {"doc_id": [], "entity": [], "terms": [], "context": []}
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+            out: dict[str, list] = {"node": [], "entity": [], "first": [], "terms": [], "fresh": [], "context": []}
+            for node, text in zip(rows["node"], rows["text"], strict=True):
+                known: dict[str, set] = {}
                 seen = set()
                 for e, terms, digest in contexts(text or ""):
-                    if (e, digest) not in seen:
-                        seen.add((e, digest))
-                        for column, value in zip(out.values(), (doc_id, e, sorted(set(terms)), digest), strict=True):
-                            column.append(value)
+                    if (e, digest) in seen:
+                        continue
+                    seen.add((e, digest))
+                    first = e not in known
+                    before = known.setdefault(e, set())
+                    own = sorted(set(terms))
+                    for column, value in zip(out.values(), (node, e, first, own, [t not in before for t in own], digest), strict=True):
+                        column.append(value)
+                    before.update(own)
             return out
 
         return run
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, entity string, terms array<string>, context long")
+    return map_rows(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"), make, "node long, entity string, first boolean, terms array<string>, fresh array<boolean>, context long")
 
 
 class _Counts:
@@ -157,9 +176,9 @@ def disclosures(docs: DataFrame, found: DataFrame, threshold: float = GENERALISE
     """entity, term, disclosure for all pairs that reach the threshold."""
     spark = docs.sparkSession
     total = docs.count()
-    entities = found.groupBy("entity").agg(F.count_distinct("doc_id").alias("df_e"))
-    near = found.select("doc_id", "entity", "context", F.explode("terms").alias("term"))
-    pairs = cut(near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc_id").alias("c")).where(F.col("n_contexts") >= support))
+    entities = found.groupBy("entity").agg(F.sum(F.col("first").cast("long")).alias("df_e"))
+    near = found.select("entity", "context", F.explode(F.arrays_zip("terms", "fresh")).alias("t")).select("entity", "context", F.col("t.terms").alias("term"), F.col("t.fresh").cast("long").alias("fresh"))
+    pairs = cut(near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.sum("fresh").alias("c")).where(F.col("n_contexts") >= support))
     # At most SLOTS / 32 rows, whatever the number of candidates.
     slots = pairs.select(F.expr(f"CAST(crc32(encode(term, 'utf-8')) % {SLOTS} AS INT)").alias("slot"))
     words = slots.groupBy(F.expr("slot DIV 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, slot % 32))").alias("bits")).collect()
@@ -183,11 +202,16 @@ def _per_text(text: str, reveals) -> tuple[dict, list[tuple[int, int, float]]]:
     if not terms:
         return spans, []
     taken = [x for own in spans.values() for x in own]
-    return spans, [(s, e, terms[t]) for t, s, e in _free_terms(text, 0, len(text), taken) if t in terms]
+    return spans, [(s, e, terms[t]) for t, s, e in free_terms(text, taken) if t in terms]
+
+
+def general(term: str) -> str:
+    """What a generalised term becomes."""
+    return "[ACRONYM]" if term.isupper() else "[NAME]" if term[0].isupper() else "[TERM]"
 
 
 def _sanitise(text: str, spans: dict, more: list[tuple[int, int, float]], remove: float) -> str:
-    edits = sorted([(s, e, f"[{k.upper()}]") for k, own in spans.items() for s, e in own] + [(s, e, "" if x >= remove else "[TERM]") for s, e, x in more])
+    edits = sorted([(s, e, f"[{k.upper()}]") for k, own in spans.items() for s, e in own] + [(s, e, "" if x >= remove else general(text[s:e])) for s, e, x in more])
     out, at = [], 0
     for s, e, by in edits:
         if s >= at:
@@ -203,8 +227,8 @@ def _digest(spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REMOVE, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, counts and digests of spans, spans and, if asked for, the sanitised text; string columns to carry.
 
-    Rules that fit a checked bound are sent to every task and texts are not shuffled; otherwise the documents that have
-    any are joined with theirs.
+    Rules that fit a checked bound are sent to every task and texts are not shuffled; otherwise texts are joined with
+    theirs, with the same result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *carry)
@@ -237,9 +261,9 @@ def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REM
 
         return map_rows(docs, make, schema)
 
-    # A document has a bounded number of rules: terms near its own base spans, or those of entities it shares.
-    own = found.select("doc_id", "entity").distinct().join(rules, "entity").groupBy("doc_id").agg(F.collect_list(F.struct("entity", "term", "disclosure")).alias("rules"))
-    joined = docs.join(own, "doc_id", "left")
+    # The same rules by text: equal texts have the same entities.
+    own = found.select("node", "entity").distinct().join(rules, "entity").groupBy("node").agg(F.collect_list(F.struct("entity", "term", "disclosure")).alias("rules"))
+    joined = docs.withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).join(own, "node", "left")
 
     def make_joined():
         def run(rows):

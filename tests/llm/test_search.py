@@ -316,6 +316,68 @@ def test_emails_are_the_leftmost_matches(seed):
         assert pii.base_spans(text)["email"] == [m.span() for m in EMAIL.finditer(text)]
 
 
+def checked(text, pattern, fits):
+    return [m.span() for m in re.finditer(pattern, text) if fits(m[0])]
+
+
+def by_the_contract(text):
+    digits = lambda x: re.sub(r"[^0-9]", "", x)
+
+    def luhn(x):
+        d = [int(c) for c in digits(x)]
+        d[-2::-2] = [n * 2 - 9 * (n > 4) for n in d[-2::-2]]
+        return 13 <= len(d) <= 19 and sum(d) % 10 == 0
+
+    return {
+        "email": checked(text, EMAIL, lambda x: True),
+        "ip": checked(text, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": checked(text, r"[0-9]([\x20-]?[0-9])+", luhn),
+        "phone": checked(text, r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    }
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_base_spans_by_the_contract(seed):
+    rng = random.Random(seed)
+    for alphabet in ("0123456789.", "12..", "0123456789 -", "4- 1+().9", "+1 (2)-. a", "09a@.+ -\n"):
+        for _ in range(1500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 45)))
+            assert pii.base_spans(text) == by_the_contract(text), text
+
+
+def test_spans_of_long_texts_are_found_in_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("1" * 300_000, "1." * 100_000, "+1 " * 100_000, "a@" * 100_000, "alpha me@here.org " * 20_000, "x" * 300_000 + " 1.2.3.4"):
+        list(pii.contexts(text))
+    assert time.time() - began < 20
+
+
+def test_neighbours_are_terms_whatever_their_length():
+    long, far = "y" * 5000, " " * 3000
+    (_, terms, _), = pii.contexts(f"one\n{long} {far} near me@here.org {far} after\nother")
+    assert terms == [long, "near", "after"]
+    got = next(pii.contexts("a " + " ".join(f"word{chr(97 + i)}" for i in range(20)) + " 1.2.3.4 end"))
+    assert got[1] == [f"word{chr(97 + i)}" for i in range(12, 20)] + ["end"]
+
+
+def test_entities_of_rows_without_ids(spark, monkeypatch):
+    """Null ids neither crash nor change the result, on either side of the bound of what is broadcast."""
+    texts = [f"a{chr(97 + i)}a zorblax me@here.org Quux b{chr(97 + i)}b" for i in range(6)] + ["nothing here at all"] * 20
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    direct = sorted((r.spans, r.text) for r in pii.sanitise(docs).collect())
+    named = sorted((r.spans, r.text) for r in pii.sanitise(frame(spark, texts).select("doc_id", "text")).collect())
+    assert direct == named and any("term" in x for x, _ in direct)
+    monkeypatch.setattr(pii, "BROADCAST_PAIRS", 0)
+    assert sorted((r.spans, r.text) for r in pii.sanitise(docs).collect()) == direct
+    assert pii.sanitise(spark.createDataFrame([(None, "x me@here.org"), (None, "y me@here.org")], "doc_id long, text string")).count() == 2
+
+
+def test_generalised_terms_keep_their_kind():
+    assert [pii.general(x) for x in ("Miller", "NATO", "river")] == ["[NAME]", "[ACRONYM]", "[TERM]"]
+
+
 def test_pii_spans(spark):
     texts = [None, "", "mail a.b@c.d.com, ip 1.2.3.4 and 1.2.3.999 card 4111 1111 1111 1111 or 4111111111111112 tel +1 (386) 555-3733.", "😀 x@y.z"]
     rows = {r.doc_id: r for r in pii.sanitise(frame(spark, texts)).collect()}
