@@ -1,7 +1,8 @@
 """Language by Bayesian fusion of evidence.
 
 Text likelihood: character n-grams (one to three letters, with word ends) under a multinomial model for each language,
-fitted on a bounded sample of labelled documents: the ``SAMPLE`` rows a language with the least hashes of id and text.
+fitted on a bounded sample of labelled documents: of each language the ``SAMPLE`` rows with the least hashes of id and
+text, of each of these the first ``SAMPLE_CHARS`` characters. Texts that are judged are scored whole.
 Everything else is counted over all rows: how often each language, by text alone, goes with a language declared in the
 markup, with a code in the address (a path segment or a country ending), and with each host. Priors are smoothed along
 the hierarchy all - registered domain - host, each level with the weight of ``PRIOR_WEIGHT`` rows of the level above.
@@ -17,76 +18,160 @@ declared language is the one of the page's first html element, wherever it stand
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.arrow import map_rows
 from skein.llm.dom import Node, parse
-from skein.llm.wordcache import WordCache
 from skein.llm.wrappers import HOST, content_slots, read_tree
 from skein.sources.scratch import cut
 from skein.sources.tables import table
 
 SAMPLE = 1000
+SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
 EFFECTIVE = 60.0
 PRIOR_WEIGHT = 20.0
 COUNT_WEIGHT = 1.0
-CACHE_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
 DECLARED = re.compile(r"\s*([a-zA-Z]{2,3})")
 CODE = r"^[^?#]*//[^/?#]*/(?:[^?#]*/)?([a-z]{2})(?:[/?#]|$)"
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word."""
-    w = f" {word} "
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-
-
-def fit(sample: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log P(n-gram | language) by bucket."""
-    languages = sorted({lang for lang, _ in sample})
-    counts = np.full((BUCKETS, len(languages)), 0.5)
-    for lang, text in sample:
-        buckets = [g for w in LETTERS.findall(text.lower()) for g in grams(w)]
-        counts[:, languages.index(lang)] += np.bincount(buckets, minlength=BUCKETS)[:BUCKETS] if buckets else 0
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+class Grams:
+    """Buckets of character n-grams: code points of texts in, buckets of the n-grams at each place out. Everything that
+    is not a letter is one mark, the end of a word."""
+
+    def __init__(self) -> None:
+        self.letters = _letters()
+
+    def codes(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.where(self.letters[codes], codes, np.uint32(0))
+
+    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and buckets of all n-grams of codes[1:-1]: one letter; two, of which this is the second; three around a
+        letter. The first and the last code are what stands before and after."""
+        before, at, after = codes[:-2], codes[1:-1], codes[2:]
+        one, two = np.flatnonzero(at != 0), np.flatnonzero((at != 0) | (before != 0))
+        a, b, c = (x[one] for x in (before, at, after))
+        hashes = [b * np.uint32(0x9E3779B1), before[two] * np.uint32(0x85EBCA6B) + at[two] * np.uint32(0xC2B2AE35) + np.uint32(1), a * np.uint32(0x27D4EB2F) + b * np.uint32(0x165667B1) + c * np.uint32(0xD3A2646D) + np.uint32(2)]
+        h = np.concatenate(hashes)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        return np.concatenate([one, two, one]), (h >> np.uint32(16)) & np.uint32(BUCKETS - 1)
+
+
+def pieces(texts: list[str], grams: Grams, size: int):
+    """The texts' n-grams in pieces of at most ``size`` code points: numbers of texts, buckets. A text that is longer
+    comes in several pieces, short ones share one."""
+    end = np.zeros(1, np.uint32)
+    codes: list[np.ndarray] = []
+    owners: list[int] = []
+
+    def flush():
+        places, buckets = grams(np.concatenate([end, *codes, end]))
+        return np.repeat(owners, [len(c) for c in codes])[places], buckets
+
+    for k, text in enumerate(texts):
+        own = np.append(grams.codes(text), end)
+        if len(own) > size:
+            for at in range(0, len(own), size):
+                before, after = own[at - 1 : at] if at else end, own[at + size : at + size + 1]
+                places, buckets = grams(np.concatenate([before, own[at : at + size], after if len(after) else end]))
+                yield np.full(len(places), k), buckets
+            continue
+        if codes and sum(map(len, codes)) + len(own) > size:
+            yield flush()
+            codes, owners = [], []
+        codes.append(own)
+        owners.append(k)
+    if codes:
+        yield flush()
 
 
 class Likelihood:
     """log P(text | language) for each language, as of at most EFFECTIVE n-grams."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
-        self.cache = WordCache(self._word, CACHE_WORDS)
-
-    def _word(self, word: str) -> bytes:
-        buckets = grams(word)
-        return np.r_[self.model[buckets].sum(axis=0), np.float32(len(buckets))].astype("<f4").tobytes()
-
-    def __call__(self, text: str) -> list[float]:
-        width = self.model.shape[1] + 1
-        words = LETTERS.findall(text.lower())
-        if not words:
-            return [0.0] * (width - 1)
-        total = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<f4").reshape(-1, width).sum(axis=0, dtype=np.float64)
-        return (total[:-1] * min(1.0, EFFECTIVE / total[-1])).tolist()
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The model of the labelled documents. What the driver gets is at most ``sample`` texts a language, each cut for
-    this purpose to 20,000 characters."""
-    labelled = docs.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    every = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
-    rows: list[tuple[str, str]] = []
-    for lang in every:  # each a distributed top-k: no window over a language's rows
-        own = labelled.where(F.col("lang") == lang).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text"))
-        rows += [(r["lang"], r["text"]) for r in own.orderBy("h", "text").limit(sample).collect()]
-    return fit(rows)
+        self.model, self.grams = model, Grams()
+        self.size = max(4096, 2_000_000 // max(1, model.shape[1]))
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        width = self.model.shape[1]
+        totals, counts = np.zeros((len(texts), width)), np.zeros(len(texts))
+        for owners, buckets in pieces(texts, self.grams, self.size):
+            counts += np.bincount(owners, minlength=len(texts))
+            for k in range(width):
+                totals[:, k] += np.bincount(owners, self.model[buckets, k], len(texts))
+        return (totals * np.minimum(1.0, EFFECTIVE / np.maximum(counts, 1))[:, None]).tolist()
+
+
+def fit(counts: dict[str, dict[int, float]]) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log P(n-gram | language) by bucket, from how often each language has each bucket."""
+    languages = sorted(counts)
+    table = np.full((BUCKETS, len(languages)), 0.5)
+    for k, lang in enumerate(languages):
+        for bucket, n in counts[lang].items():
+            table[bucket, k] += n
+    return languages, np.asfortranarray(np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """The model of the labelled documents: ``sample`` of each language, of each the first ``sample_chars`` characters.
+
+    Two scans whatever the number of languages: one counts the labels, the next keeps the rows with the least hashes
+    (about twice as many as wanted, by a share of the range of hashes, then the exact number). The driver gets counts of
+    buckets only: BUCKETS rows a language."""
+    labelled = docs.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return [], np.zeros((BUCKETS, 0), np.float32)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * sample / n)) for lang, n in sizes.items()], "lang string, share double")
+    near = labelled.join(F.broadcast(shares), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share")).select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
+    rows = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= sample).select("lang", "text")
+
+    def make():
+        grams = Grams()
+
+        def run(batch):
+            found: dict[str, np.ndarray] = {}
+            for owners, buckets in pieces(batch["text"], grams, 1 << 20):
+                for k in np.unique(owners):
+                    own = np.bincount(buckets[owners == k], minlength=BUCKETS)
+                    lang = batch["lang"][k]
+                    found[lang] = found[lang] + own if lang in found else own
+            out: dict[str, list] = {"lang": [], "bucket": [], "n": []}
+            for lang, own in found.items():
+                at = np.flatnonzero(own)
+                out["lang"] += [lang] * len(at)
+                out["bucket"] += at.tolist()
+                out["n"] += own[at].tolist()
+            return out
+
+        return run
+
+    counted = map_rows(rows, make, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[int, float]] = {lang: {} for lang in sizes}
+    for batch in counted.toArrow().to_batches():
+        for lang, bucket, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang][bucket] = n
+    return fit(counts)
+
+
+#: Endings of two labels under which names are registered; a parameter, as the public list changes.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.za", "co.in", "co.kr", "com.ar", "com.br", "com.cn", "com.mx", "com.tr")
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: two labels, or three under one of the suffixes."""
+    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -133,7 +218,7 @@ def evidence(rows: DataFrame, model: np.ndarray, markup: bool) -> DataFrame:
         def run(batch):
             raw = [x or "" for x in batch["raw"]]
             pages = [_page(x) if markup else (None, x) for x in raw]
-            return {"id": batch["id"], "host": batch["host"], "code": batch["code"], "declared": [d for d, _ in pages], "scores": [score(x) for _, x in pages]}
+            return {"id": batch["id"], "host": batch["host"], "code": batch["code"], "declared": [d for d, _ in pages], "scores": score([x for _, x in pages])}
 
         return run
 
@@ -155,7 +240,7 @@ def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
     n = len(languages)
     if not n:
         return found.select("id", "host", "code", "declared", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
-    found = cut(found.withColumn("best", _best(F.col("scores"))).withColumn("domain", F.substring_index("host", ".", -2)))
+    found = cut(found.withColumn("best", _best(F.col("scores"))).withColumn("domain", domain_of(F.col("host"))))
     every = found.where("best IS NOT NULL").agg(*[F.coalesce(F.sum((F.col("best") == k + 1).cast("double")), F.lit(0.0)).alias(f"c{k}") for k in range(n)]).first()
     totals = [float(x) for x in every]
     overall = F.lit([(x + 1) / (sum(totals) + n) for x in totals])
@@ -164,7 +249,7 @@ def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
         return F.transform(F.zip_with(counts, above, lambda c, p: c + PRIOR_WEIGHT * p), lambda x: x / (F.aggregate(counts, F.lit(0.0), lambda s, c: s + c) + PRIOR_WEIGHT))
 
     domains = _counts(found, "domain", n).select("domain", smoothed(F.col("counts"), overall).alias("p_domain"))
-    hosts = cut(_counts(found, "host", n).withColumn("domain", F.substring_index("host", ".", -2)).join(domains, "domain", "left").select("host", smoothed(F.col("counts"), F.coalesce("p_domain", overall)).alias("p_host")))
+    hosts = cut(_counts(found, "host", n).withColumn("domain", domain_of(F.col("host"))).join(domains, "domain", "left").select("host", smoothed(F.col("counts"), F.coalesce("p_domain", overall)).alias("p_host")))
 
     def given(by: str) -> DataFrame:
         """log P(value | language), smoothed over the values; values are codes of two or three letters."""

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import langid, packing, pieces, wrappers
 
@@ -192,12 +193,37 @@ def test_tree_matching_is_the_largest():
 def test_held_out_accuracy(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").orderBy("doc_id").collect()
     train, held = rows[::2], rows[1::2]
-    languages, model = langid.fit([(r.lang, r.text) for r in train])
-    score = langid.Likelihood(model)
-    right = sum(languages[int(np.argmax(score(r.text)))] == r.lang for r in held)
+    languages, model = langid.train(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in train], "doc_id long, text string, lang string"))
+    scores = langid.Likelihood(model)([r.text for r in held])
+    right = sum(languages[int(np.argmax(s))] == r.lang for s, r in zip(scores, held, strict=True))
     assert right / len(held) > 0.97
 
 
+def test_grams_of_whole_texts_whatever_the_pieces():
+    """A word of n letters has n grams of one letter, n + 1 of two with its ends and n of three. Neither the size of
+    pieces nor the texts beside one change what it has."""
+    grams, rng = langid.Grams(), np.random.default_rng(3)
+    texts = ["", "a", "Ab c", "é1ü_x-İstanbul " * 3] + ["".join(rng.choice(list("ab é1_.Zß\n")) for _ in range(n)) for n in (5, 40, 300)]
+
+    def found(texts, size):
+        out = [defaultdict(int) for _ in texts]
+        for owners, buckets in langid.pieces(texts, grams, size):
+            for k, x in zip(owners.tolist(), buckets.tolist(), strict=True):
+                out[k][x] += 1
+        return out
+
+    alone = [found([t], 1 << 20)[0] for t in texts]
+    for size in (1 << 20, 50, 7):
+        assert found(texts, size) == alone
+    for t, own in zip(texts, alone, strict=True):
+        assert sum(own.values()) == sum(3 * len(w) + 1 for w in re.findall(r"[^\W\d_]+", "".join(c if c.isalnum() else " " for c in t.lower())))
+
+
+def test_domains(spark):
+    hosts = spark.createDataFrame([("www.a.co.uk",), ("a.co.uk",), ("x.y.com",), ("com",), (None,)], "host string")
+    assert [r[0] for r in hosts.select(langid.domain_of(F.col("host"))).collect()] == ["a.co.uk", "a.co.uk", "y.com", "com", None]
+
+
 def test_fusion_against_brute_force(spark):
     languages = ["de", "en"]
     rows = [(1, "a.x.com", "path:de", "de", [-5.0, -1.0]), (2, "a.x.com", None, "en", [-9.0, -2.0]), (3, "b.x.com", "path:de", None, [-1.0, -4.0]), (4, "", None, None, [0.0, 0.0]), (5, None, None, "xx", [-1.0, -4.0])]
@@ -244,5 +270,5 @@ def test_declaration_is_found_anywhere():
 
 def test_no_label_is_dropped(spark):
     labels = sorted(f"l{k:02}" for k in range(66))
-    docs = spark.createDataFrame([(x, f"text {x}") for x in labels], "lang string, text string").coalesce(1).cache()
+    docs = spark.createDataFrame([(k, x, f"text {x}") for k, x in enumerate(labels)], "doc_id long, lang string, text string").coalesce(1).cache()
     assert langid.train(docs)[0] == labels
