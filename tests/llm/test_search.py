@@ -19,6 +19,11 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
 
 
+def by_id(docs):
+    """Texts whose nodes are the ids, so that results name them."""
+    return docs.selectExpr("doc_id node", "text")
+
+
 def prose(rng, n):
     return [rng.choice("abcdefghij") + str(rng.randrange(4000)) for _ in range(n)]
 
@@ -140,14 +145,13 @@ def test_documents_are_rows_of_id_and_text(spark):
 def test_edge_tables(spark):
     empty = frame(spark, []).limit(0)
     assert orderminhash.classes(empty).count() == 0
-    assert compactwindows.passages(empty).count() == 0
+    assert compactwindows.located(empty).count() == 0 and compactwindows.stage(spark, empty, "").count() == 0
     assert pii.sanitise(empty).count() == 0
     long = " ".join(f"w{i}" for i in range(70))
     odd = spark.createDataFrame([(None, long, "x", 1), (None, None, None, 2), (7, long, "y", 3), (7, long, "y", 3)], "doc_id long, text string, key string, part long")
     named = sorted((r.doc_id or -1, r.class_id == 7, r.kept) for r in orderminhash.classes(odd).collect())
     assert named == [(-1, False, True), (-1, True, False), (7, True, True), (7, True, True)]
     assert pii.sanitise(odd).count() == 4
-    assert compactwindows.passages(odd).count() >= 1
 
 
 def test_alignment_is_the_best_one(monkeypatch):
@@ -216,7 +220,7 @@ def crowded(rng):
 
 def test_passages_of_windows_that_their_group_s_first_does_not_confirm(spark):
     texts, pairs = crowded(random.Random(21))
-    found = {(r.x, r.y) for r in compactwindows.passages(frame(spark, texts)).collect()}
+    found = {(r.x, r.y) for r in compactwindows.passages(by_id(frame(spark, texts))).collect()}
     assert found >= {(b, a) for a, b in pairs}
     assert all((y, x) in pairs for x, y in found)
 
@@ -228,7 +232,7 @@ def test_passages_beside_another_place_of_the_same_line_in_the_first(spark):
         line, left, right = prose(rng, 40), prose(rng, 3), prose(rng, 7)
         texts.append(" ".join(prose(rng, 50) + line + prose(rng, 60) + left + line + right + prose(rng, 50)))
         texts.append(" ".join(prose(rng, 30) + left + line + right + prose(rng, 30)))
-    found = compactwindows.passages(frame(spark, texts)).collect()
+    found = compactwindows.passages(by_id(frame(spark, texts))).collect()
     for k in range(1, len(texts), 2):
         assert any(r.x == k and r.y == k - 1 and r.xa <= 30 and r.xb >= 80 for r in found)
 
@@ -282,27 +286,45 @@ def test_passages_hold_exact_repeats(spark):
         texts.append(" ".join(body))
     near = edited(rng, shared[3], 3)
     texts.append(" ".join(prose(rng, 40) + near + prose(rng, 40)))
-    docs = frame(spark, texts)
-    found = compactwindows.located(docs, compactwindows.marks(compactwindows.passages(docs), keeps=False)).collect()
-    spans = {r.node: [(s.a, s.b, s.y) for s in r.marks] for r in found}
-    missed = caught = 0
+    found = compactwindows.passages(by_id(frame(spark, texts))).collect()
+    spans = {i: [(r.xa, r.xb) for r in found if r.x == i] for i in range(len(texts))}
+    caught = 0
     for i, places in repeated_words(texts).items():
-        words = [m.span() for m in re.finditer(r"\S+", texts[i] or "")]
-        for j in places:
-            hit = any(a <= words[j][0] and words[j][1] <= b for a, b, _ in spans.get(i, []))
-            caught, missed = caught + hit, missed + (not hit)
+        assert all(any(a <= j < b for a, b in spans[i]) for j in places)
+        caught += len(places)
         if not places and i < len(texts) - 1:
-            assert i not in spans
-    assert caught and missed == 0
-    last = len(texts) - 1
-    assert sum(b - a for a, b, _ in spans[last]) > 0.8 * len(" ".join(near))
-    cut = {r.doc_id: r.text for r in compactwindows.stage(spark, frame(spark, texts), "").collect()}
-    for i, t in enumerate(texts):
+            assert not spans[i]
+    assert caught
+    assert max(b - a for a, b in spans[len(texts) - 1]) > 0.8 * len(near)
+
+    # The documents: every repeat of 50 words is left in one text only, and all that is cut is a repeat.
+    docs = frame(spark, texts + texts[3:5])
+    rows = {r.doc_id: [m for m in r.marks if m.cut] for r in compactwindows.located(docs).collect()}
+    left = {r.doc_id: r.text for r in compactwindows.stage(spark, docs, "").collect()}
+    assert set(left) == set(range(len(texts) + 2))
+    for i, t in enumerate(texts + texts[3:5]):
         want, at = [], 0
-        for a, b, _ in spans.get(i, []):
-            want.append((t or "")[at:a])
-            at = b
-        assert cut[i] == (t if i not in spans else "".join([*want, t[at:]]))
+        for m in sorted(rows.get(i, []), key=lambda m: m.a):
+            want.append((t or "")[at : m.a])
+            at = m.b
+        assert left[i] == ("".join([*want, t[at:]]) if want else t)
+    assert [left[len(texts)].strip(), left[len(texts) + 1].strip()] == ["", ""]
+    assert not any(repeated_words([left[i] for i in range(len(texts) + 2)]).values())
+    assert all(left[i] == texts[i] for i in range(3, 123, 6))
+
+
+def test_texts_under_one_id_keep_to_themselves(spark):
+    """Ids decide nothing: an unrelated text under the id of a repeated one, or under none, is left alone."""
+    rng = random.Random(31)
+    passage = prose(rng, 80)
+    a, b = (" ".join(prose(rng, 35) + passage + prose(rng, 35)) for _ in range(2))
+    other = [" ".join(prose(rng, 150)) for _ in range(3)]
+    docs = spark.createDataFrame([(1, a), (5, b), (5, other[0]), (None, other[1]), (None, other[2]), (7, other[2]), (5, other[0])], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    cut = sorted((r.doc_id or 0, r.text.strip()) for r in compactwindows.stage(spark, docs, "").collect())
+    lost = [i for i, t in cut if (i, t) not in {(1, a), (5, b), (5, other[0]), (0, other[1]), (7, other[2])}]
+    assert len(cut) == 7 and len(lost) == 2 and 0 in lost and (0, "") in cut
+    assert [t for _, t in cut].count(other[0]) == 2 and (0, other[1]) in cut and (7, other[2]) in cut
+    assert sum(" ".join(passage) in t for _, t in cut) == 1
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
