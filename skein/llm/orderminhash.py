@@ -5,11 +5,11 @@ takes the ``KEEP`` labelled shingles that are least under one hash function and
 texts that share most shingles in the same order share entries. Short texts (up to ``SHORT`` words) have entries of 3,
 long ones of 5, and those of a length that may be near either have both.
 
-Similarity of two texts is that of their words: M can be aligned in order, of n1 and n2; it is M / (n1 + n2 - M), and
-0.8 or more is a link. Candidates are verified by that alignment, in the band that a similarity of 0.8 leaves. Words
-are compared by 32-bit hashes. Texts whose shingles agree to 0.8 always have words that do, and share no entry with a
-chance under 1e-6; texts that only their words make similar, with edits spread evenly, share one less surely (recall is
-in the README).
+Similarity is edit similarity: of n1 and n2 words, M can be aligned in order; it is M / max(n1, n2), and 0.8 or more is a
+link. Candidates are verified by that alignment, in the band that a similarity of 0.8 leaves. Words are compared by
+32-bit hashes. Texts whose labelled shingles agree in order to 0.8 (of all shingles of both) have words that do, and
+share no entry with a chance under 1e-6; texts that only their words make similar, with edits spread evenly, share one
+less surely (recall is in the README).
 
 Candidates without all pairs. Rows of equal text are one node. In each bucket of an entry, all members are compared with
 the least one, each first with the least of all its leads. Verified links give components. While a bucket has members
@@ -123,8 +123,7 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     if len(a) == 0 or len(b) == 0:
         return len(a) == len(b)
-    # M / (n - M) >= s: M >= s n / (1 + s), in whole numbers.
-    least = int(np.ceil(similarity * (len(a) + len(b)) / (1 + similarity) - 1e-9))
+    least = int(np.ceil(similarity * max(len(a), len(b)) - 1e-9))
     if min(len(a), len(b)) < least:
         return False
     # What both start and end with is part of a best alignment.

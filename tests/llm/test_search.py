@@ -47,14 +47,14 @@ def lcs(a, b):
 
 
 def alike(a, b, of):
-    """Similarity of two texts: of their words in order, or of their labelled shingles in order."""
+    """Similarity of two texts: the share of the longer one's words, or of all shingles of both, aligned in order."""
     a, b = of(a), of(b)
     if not a or not b:
         return float(len(a) == len(b))
     if min(len(a), len(b)) < 0.8 * max(len(a), len(b)) or len(set(a) & set(b)) < 0.3 * len(set(a)):
         return 0.0
     m = lcs(a, b)
-    return m / (len(a) + len(b) - m)
+    return m / max(len(a), len(b)) if of is word_list else m / (len(a) + len(b) - m)
 
 
 def word_list(text):
@@ -170,7 +170,7 @@ def test_alignment_is_the_best_one(monkeypatch):
             assert orderminhash.aligned(a, b, low, high) == best[-1][-1]
             for s in (0.5, 0.8):
                 m = lcs(a, b)
-                assert orderminhash.similar(np.array(a), np.array(b), s) == (m / (len(a) + len(b) - m) >= s - 1e-12)
+                assert orderminhash.similar(np.array(a), np.array(b), s) == (m / max(len(a), len(b)) >= s - 1e-12)
 
 
 def test_windows_against_brute_force():
