@@ -1,19 +1,21 @@
 """Document fingerprints: a homomorphic multiset hash over the paragraphs of a text.
 
-A fingerprint is a sum of vectors, one a unit (a line, or a sentence of it), each coordinate modulo a power of two. The
-order of units does not matter, and adding or removing a unit adds or subtracts its vector. Two kinds of lanes:
-
-* eight lanes of 32 bits of four seeded 64-bit hashes, summed modulo 2**32: equality of multisets;
-* 189 lanes of one bit of three seeded hashes, summed modulo 2**21, three lanes to a 63-bit integer. Centred on half of
-  the units, each is a sum of random signs, so the squared distance of two such vectors estimates by how many units two
-  texts differ: likeness = 1 - |a - b|**2 / (|a|**2 + |b|**2), clipped to 0..1, as in second-moment sketches.
-
-A text's own white space and order are part of its equality: the hash of the whole text is one more unit, which counts
-in the first kind of lanes only. Only DataFrame functions are used.
-
-Defined results. Null text: empty. An empty text has one empty unit. Beyond 2**21 units lanes of the second kind wrap
-and likeness loses its meaning, equality does not. Rows without an id come last. Rows that share an id are ordered by
-their text. An empty table gives an empty result; in a table of one row, that row is its own next one.
+A fingerprint is a sum of vectors, one a paragraph (a line), each coordinate modulo a power of two. The order of
+paragraphs does not matter, and adding or removing one adds or subtracts its vector, here and in ``equal``. A
+paragraph's vector has two kinds of lanes:
+
+* eight lanes of 32 bits of four seeded 64-bit hashes of it, summed modulo 2**32: equality of multisets;
+* 189 lanes of one bit of three seeded hashes of each of its sentences, summed modulo 2**21, three lanes to a 63-bit
+  integer. Centred on half of the sentences, each is a sum of random signs, so the squared distance of two such vectors
+  estimates by how many sentences two texts differ: likeness = 1 - |a - b|**2 / (|a|**2 + |b|**2), clipped to 0..1, as
+  in second-moment sketches. Sentences are finer than paragraphs, of which many texts have few.
+
+Equal texts have equal fingerprints; so have texts of the same paragraphs in another order. Only DataFrame functions are
+used.
+
+Defined results. Null text: empty. An empty text has one empty paragraph. Beyond 2**21 sentences lanes of the second
+kind wrap and likeness loses its meaning, equality does not. Rows without an id come last. Rows that share an id are
+ordered by their text. An empty table gives an empty result; in a table of one row, that row is its own next one.
 """
 
 from __future__ import annotations
@@ -47,11 +49,12 @@ def _sum(values: Column, of) -> Column:
 def fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with a column ``name``: struct of n (units), equal (8 lanes) and like (63 packed lanes)."""
     carry = [c for c in docs.columns if c != name]
-    hashed = docs.select(*carry, F.transform(units(F.coalesce(F.col(text_col), F.lit(""))), lambda u: F.struct(*[F.xxhash64(F.lit(s), u).alias(f"h{s}") for s in (*EQUAL_SEEDS, *LIKE_SEEDS)])).alias("_units"))
-    whole = {s: F.xxhash64(F.lit(-s), F.coalesce(F.col(text_col), F.lit(""))) for s in EQUAL_SEEDS}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashes = lambda parts, seeds: F.transform(parts, lambda u: F.struct(*[F.xxhash64(F.lit(s), u).alias(f"h{s}") for s in seeds]))
+    hashed = docs.select(*carry, hashes(F.split(text, "\n", -1), EQUAL_SEEDS).alias("_paragraphs"), hashes(units(text), LIKE_SEEDS).alias("_units"))
 
     def wrapped(seed: int, part) -> Column:
-        return (_sum(F.col("_units"), lambda u: part(u[f"h{seed}"])) + part(whole[seed])).bitwiseAND(F.lit(LOW))
+        return _sum(F.col("_paragraphs"), lambda u: part(u[f"h{seed}"])).bitwiseAND(F.lit(LOW))
 
     equal = [wrapped(s, part) for s in EQUAL_SEEDS for part in (lambda h: h.bitwiseAND(F.lit(LOW)), lambda h: F.shiftrightunsigned(h, 32))]
     like = [_sum(F.col("_units"), lambda u, s=s, j=j: F.shiftrightunsigned(u[f"h{s}"], j).bitwiseAND(F.lit(ONES))) for s in LIKE_SEEDS for j in range(STEPS)]

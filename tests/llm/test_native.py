@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from skein.llm import chat, fingerprint, quality
@@ -83,8 +84,39 @@ def test_fingerprint_is_homomorphic(spark):
     for c in "abc":
         df = fingerprint.fingerprint(df, c, f"f{c}")
     r = df.select(fingerprint.add(chat.F.col("fa"), chat.F.col("fb")).alias("sum"), "fc", fingerprint.add(chat.F.col("fc"), chat.F.col("fb"), -1).alias("less"), "fa").first()
-    assert r["sum"].n == r.fc.n and r["sum"].like == r.fc.like
-    assert r.less.like == r.fa.like
+    assert (r["sum"].n, r["sum"].equal, r["sum"].like) == (r.fc.n, r.fc.equal, r.fc.like)
+    assert (r.less.n, r.less.equal, r.less.like) == (r.fa.n, r.fa.equal, r.fa.like)
+
+
+def test_order_of_paragraphs_does_not_matter(spark):
+    same = ["One. Two.\nThree\nThree\n", "Three\n\nOne. Two.\nThree", "Three\nThree\nOne. Two.\n"]
+    got = fingerprints(spark, [*same, "Three\nOne. Two.\n", "One.\nTwo.\nThree\nThree\n", "", None])
+    assert got[0] == got[1] == got[2] and got[5] == got[6]
+    assert len({tuple(got[i].equal) for i in (0, 3, 4, 5)}) == 4
+
+
+def test_likeness_against_brute_force(spark):
+    """The estimate is that of the lanes, and lies near the share of sentences in common."""
+    rng = np.random.default_rng(7)
+    pool = [f"Sentence {k} stands here." for k in range(900)]
+    texts = [" ".join(rng.choice(pool, 150)) for _ in range(6)]
+    texts += [" ".join([*t.split(". ")[0:1], t]) for t in texts] + [texts[0] + "\nMore. And more."]
+    fps = fingerprints(spark, texts)
+    rows = spark.createDataFrame([(i, j, fps[i], fps[j]) for i in fps for j in fps], "i long, j long, a struct<n:long,equal:array<long>,like:array<long>>, b struct<n:long,equal:array<long>,like:array<long>>")
+    got = {(r.i, r.j): r.x for r in rows.select("i", "j", fingerprint.likeness(chat.F.col("a"), chat.F.col("b")).alias("x")).collect()}
+
+    def signs(fp):
+        packed = np.array(fp.like, np.int64)
+        return np.concatenate([2.0 * ((packed >> k) & ((1 << 21) - 1)) - fp.n for k in (0, 21, 42)])
+
+    for i, j in got:
+        a, b = signs(fps[i]), signs(fps[j])
+        want = 1.0 if fps[i].equal == fps[j].equal else min(1.0, max(0.0, 1 - ((a - b) ** 2).sum() / ((a**2).sum() + (b**2).sum())))
+        assert got[i, j] == pytest.approx(want)
+        counts = [Counter(re.split(r"\n|(?<=[.!?]) ", texts[k])) for k in (i, j)]
+        apart = sum((counts[0][u] - counts[1][u]) ** 2 for u in counts[0] | counts[1])
+        size = sum(n * n for c in counts for n in c.values())
+        assert abs(got[i, j] - max(0, 1 - apart / size)) < 0.35
 
 
 def test_likeness_orders_pairs(spark):
