@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ from skein.sources.tables import table
 SPACE = "▁"
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
+#: Fixed value: how much less than the least score a character without a piece has in a unigram model.
+UNKNOWN_PENALTY = 10.0
 
 
 def default_model() -> str:
@@ -99,6 +102,7 @@ class Pieces:
             else:
                 self.unknown = i if kind == 2 else self.unknown
                 self.surface.append(b"")
+        self.least = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.texts = {i: t for t, i in self.ids.items()}
         self.neighbours = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         self.automaton = ahocorasick.Automaton()
@@ -114,18 +118,40 @@ class Pieces:
         self.cache = WordCache(self._word, CACHE_WORDS)
 
     def merged(self, text: str) -> list[str]:
-        """The encoding by merges, for short strings: the pair whose union has the highest score first, then the
-        leftmost."""
-        parts = list(text)
-        while True:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, where = self.scores[i], k
-            if best is None:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        """The encoding by merges: the pair whose union has the highest score first, then the leftmost. Pairs wait in a
+        heap, so n characters cost n log n."""
+        parts: list[str | None] = list(text)
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def propose(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                union = parts[k] + parts[after[k]]
+                i = self.ids.get(union)
+                if i is not None:
+                    heappush(heap, (-self.scores[i], k, union))
+
+        for k in range(len(parts) - 1):
+            propose(k)
+        while heap:
+            _, k, union = heappop(heap)
+            other = after[k]
+            if parts[k] is None or other == len(parts) or parts[k] + parts[other] != union:
+                continue  # one of the two has been merged since
+            parts[k], parts[other] = union, None
+            after[k] = after[other]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            propose(before[k])
+            propose(k)
+        return [x for x in parts if x is not None]
+
+    def _unknown(self, text: str) -> bytes:
+        """Ids of a character that is no piece."""
+        return b"".join(self.bytes[x].to_bytes(4, "little") for x in text.encode()) if any(self.bytes) else self.unknown.to_bytes(4, "little")
+
+    def _by_merges(self, text: str) -> bytes:
+        return b"".join(self.ids[x].to_bytes(4, "little") if x in self.ids else self._unknown(x) for x in self.merged(text))
 
     def _apart(self, pair: tuple[int, int]) -> bool:
         a, b = self.texts[pair[0]], self.texts[pair[1]]
@@ -134,30 +160,36 @@ class Pieces:
     def _segment(self, text: str) -> bytes:
         """Ids of a string that may be one piece throughout."""
         if text not in self.ids and len(text) == 1:
-            return b"".join(self.bytes[x].to_bytes(4, "little") for x in text.encode()) if any(self.bytes) else self.unknown.to_bytes(4, "little")
-        if not self.unigram and text.strip(SPACE) != text and text.startswith(SPACE * 2):
-            return b"".join(self.ids[x].to_bytes(4, "little") for x in self.merged(text))  # runs of spaces: all merges tie
+            return self._unknown(text)
+        if not self.unigram and text.startswith(SPACE * 2):
+            return self._by_merges(text)  # in runs of spaces merges tie, so two neighbours do not tell whether they merge
         n = len(text)
-        state: list = [None] * (n + 1)  # best score or 0, id, start
-        state[0] = (0.0, -1, 0)
-        pairs, scores = self.pairs, self.scores
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for end, (size, i) in self.automaton.iter(text):
-            before = state[end + 1 - size]
-            if before is None:
-                continue
-            now = state[end + 1]
-            if self.unigram:
-                score = before[0] + scores[i]
-                if now is None or score > now[0]:
-                    state[end + 1] = (score, i, end + 1 - size)
-            elif now is None and (before[1] < 0 or pairs[before[1], i]):
-                state[end + 1] = (0.0, i, end + 1 - size)
-        if state[n] is None:
-            raise ValueError(f"no encoding of {text!r}")
+            ends[end + 1].append((size, i))
+        state: list = [(0.0, -1, 0)] + [None] * n  # best score or 0, id (-1: none), start
+        for end in range(1, n + 1):
+            for size, i in ends[end]:
+                before, now = state[end - size], state[end]
+                if before is None:
+                    continue
+                if self.unigram:
+                    score = before[0] + self.scores[i]
+                    if now is None or score > now[0]:
+                        state[end] = (score, i, end - size)
+                elif now is None and (before[1] < 0 or self.pairs[before[1], i]):
+                    state[end] = (0.0, i, end - size)
+            if self.unigram and state[end - 1] and not any(size == 1 for size, _ in ends[end]):
+                score = state[end - 1][0] + self.least - UNKNOWN_PENALTY
+                if state[end] is None or score > state[end][0]:
+                    state[end] = (score, -1, end - 1)
+        if state[n] is None:  # a character that is a piece in unions only
+            return self._by_merges(text)
         out = []
         while n:
-            out.append(state[n][1].to_bytes(4, "little"))
-            n = state[n][2]
+            _, i, start = state[n]
+            out.append(i.to_bytes(4, "little") if i >= 0 else self._unknown(text[start:n]))
+            n = start
         return b"".join(reversed(out))
 
     def _word(self, word: str) -> bytes:
