@@ -13,10 +13,13 @@ import re
 DEEPEST = 150
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "audio video object noscript math annotation mfrac mi mn mo mover mroot mrow ms mspace msqrt msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 #: Content that is no text of the page.
-RAW = frozenset("script style noscript template iframe object svg canvas textarea select math audio video".split())
+RAW = frozenset("script style template iframe svg canvas textarea select".split())
 BLOCKS_END_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: For a start tag, the open elements that it ends and those beyond which it does not look.
 ENDS = {

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,10 @@ from skein.sources.tables import table
 SHARE, PAGES = 0.5, 3
 ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 20
 LINKS = 0.5
-#: Up to so many skeletons, their labels are small enough to broadcast; beyond, they are joined by a shuffle.
-BROADCAST_SKELETONS = 20_000
+#: Up to so many pairs of siblings are aligned exactly.
+ALIGNED = 40_000
+#: Up to so many bytes, the labels of all skeletons are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 DROPPED = frozenset("head nav header footer aside form button fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 NAMES = frozenset(
@@ -79,8 +82,30 @@ def _runs(node: Node) -> list[tuple[str, list[Node]]]:
     return out
 
 
-def _aligned(a: list, b: list, weight) -> list[tuple[int | None, int | None]]:
-    """The order-keeping alignment of two lists with the most weight, as pairs of places or None."""
+def _aligned(a: list, b: list, weight, same, name) -> list[tuple[int | None, int | None]]:
+    """The order-keeping alignment of two lists with the most weight, as pairs of places or None.
+
+    What both start and end with that is the ``same`` (alike throughout) is part of a best one. Between, lists of up to
+    ALIGNED pairs are aligned by dynamic programming; of longer ones the first, second, ... of each ``name`` are paired
+    and the most pairs that keep the order are taken, so no page costs more than about its length."""
+    low, high = 0, 0
+    while low < min(len(a), len(b)) and same(a[low], b[low]):
+        low += 1
+    while high < min(len(a), len(b)) - low and same(a[-1 - high], b[-1 - high]):
+        high += 1
+    n, m = len(a) - low - high, len(b) - low - high
+    middle = _by_weight(a[low : low + n], b[low : low + m], weight) if n * m <= ALIGNED else _by_name(a[low : low + n], b[low : low + m], name)
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(low)]
+    i = j = 0
+    for p, q in [*middle, (n, m)]:
+        out += [(low + k, None) for k in range(i, p)] + [(None, low + k) for k in range(j, q)]
+        if p < n or q < m:
+            out.append((low + p, low + q))
+        i, j = p + 1, q + 1
+    return out + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+
+
+def _by_weight(a: list, b: list, weight) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     pair = [[weight(x, y) for y in b] for x in a]
@@ -88,19 +113,41 @@ def _aligned(a: list, b: list, weight) -> list[tuple[int | None, int | None]]:
         for j in range(m - 1, -1, -1):
             w = pair[i][j]
             best[i][j] = max(best[i + 1][j], best[i][j + 1], w + best[i + 1][j + 1] if w else 0)
-    out: list[tuple[int | None, int | None]] = []
-    i = j = 0
+    out, i, j = [], 0, 0
     while i < n and j < m:
         if pair[i][j] and best[i][j] == pair[i][j] + best[i + 1][j + 1]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:
-            out.append((i, None))
             i += 1
         else:
-            out.append((None, j))
             j += 1
-    return out + [(k, None) for k in range(i, n)] + [(None, k) for k in range(j, m)]
+    return out
+
+
+def _by_name(a: list, b: list, name) -> list[tuple[int, int]]:
+    places: dict = defaultdict(list)
+    for j, y in enumerate(b):
+        places[name(y)].append(j)
+    used: dict = defaultdict(int)
+    tails: list[int] = []
+    ends: list[tuple[int, int, int]] = []  # a's place, b's place, the pair before
+    at: list[int] = []
+    for i, x in enumerate(a):
+        k = name(x)
+        if used[k] == len(places[k]):
+            continue
+        j = places[k][used[k]]
+        used[k] += 1
+        size = bisect_left(tails, j)
+        tails[size : size + 1] = [j]
+        at[size : size + 1] = [len(ends)]
+        ends.append((i, j, at[size - 1] if size else -1))
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        i, j, k = ends[k]
+        out.append((i, j))
+    return out[::-1]
 
 
 def _fold(sign: str, group: list[Node], flags: str) -> Skeleton:
@@ -115,7 +162,7 @@ def _fold(sign: str, group: list[Node], flags: str) -> Skeleton:
             for (_, into), (_, more) in zip(merged, own, strict=True):
                 into += more
         elif own:
-            pairs = _aligned(merged, own, lambda x, y: x[0] == y[0])
+            pairs = _aligned(merged, own, lambda x, y: x[0] == y[0], lambda x, y: x[0] == y[0], lambda x: x[0])
             merged = [(merged[i][0], merged[i][1] + own[j][1]) if i is not None and j is not None else merged[i] if i is not None else own[j] for i, j in pairs]
     for child_sign, nodes in merged:
         child = _fold(child_sign, nodes, child_sign.rsplit("!", 1)[1])
@@ -125,16 +172,22 @@ def _fold(sign: str, group: list[Node], flags: str) -> Skeleton:
     return out
 
 
-def _number(root: Skeleton) -> list[Skeleton]:
+def _preorder(root: Skeleton) -> list[Skeleton]:
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.number = len(out)
         out.append(node)
         todo += reversed(node.children)
     return out
 
 
+def _number(root: Skeleton) -> list[Skeleton]:
+    out = _preorder(root)
+    for k, node in enumerate(out):
+        node.number = k
+    return out
+
+
 def _plain(node: Skeleton) -> list:
     return [node.sign, [_plain(c) for c in node.children]]
 
@@ -165,28 +218,37 @@ def read_tree(root: Node) -> tuple[str, list[tuple[int, str, int]]]:
 
 
 def tree_matching(a: Skeleton, b: Skeleton) -> dict[int, int]:
-    """Numbers of the nodes of a that match nodes of b: simple tree matching."""
-    memo: dict[tuple[int, int], int] = {}
-
-    def weight(x: Skeleton, y: Skeleton) -> int:
+    """Numbers of the nodes of a that match nodes of b: simple tree matching. Subtrees that are alike throughout match
+    whole."""
+    kinds: dict[tuple, int] = {}
+    kind, size = ({}, {}), ({}, {})
+    for side, root in enumerate((a, b)):
+        for node in reversed(_preorder(root)):
+            kind[side][node.number] = kinds.setdefault((node.sign, *(kind[side][c.number] for c in node.children)), len(kinds))
+            size[side][node.number] = 1 + sum(size[side][c.number] for c in node.children)
+    memo: dict[tuple[int, int], tuple[int, list]] = {}
+
+    def same(x: Skeleton, y: Skeleton) -> bool:
+        return kind[0][x.number] == kind[1][y.number]
+
+    def matched(x: Skeleton, y: Skeleton) -> tuple[int, list]:
+        """The most matched nodes, and the pairs of children that have them."""
         if x.sign != y.sign:
-            return 0
+            return 0, []
+        if same(x, y):
+            return size[0][x.number], list(zip(x.children, y.children, strict=True))
         key = (x.number, y.number)
         if key not in memo:
-            n, m = len(x.children), len(y.children)
-            best = [[0] * (m + 1) for _ in range(n + 1)]
-            for i in range(n):
-                for j in range(m):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight(x.children[i], y.children[j]))
-            memo[key] = 1 + best[n][m]
+            pairs = [(x.children[i], y.children[j]) for i, j in _aligned(x.children, y.children, lambda p, q: matched(p, q)[0], same, lambda p: p.sign) if i is not None and j is not None]
+            memo[key] = 1 + sum(matched(p, q)[0] for p, q in pairs), pairs
         return memo[key]
 
     out: dict[int, int] = {}
-    todo = [(a, b)] if weight(a, b) else []
+    todo = [(a, b)] if a.sign == b.sign else []
     while todo:
         x, y = todo.pop()
         out[x.number] = y.number
-        todo += [(x.children[i], y.children[j]) for i, j in _aligned(x.children, y.children, weight) if i is not None and j is not None]
+        todo += matched(x, y)[1]
     return out
 
 
@@ -335,7 +397,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return run
 
     parsed = map_rows(rows, make, "page_id long, url string, host string, skeleton long, blocks array<struct<slot:int,text:string>>")
-    if labels.count() <= BROADCAST_SKELETONS:
+    held = labels.agg(F.sum(64 + F.length("host") + 4 * F.size("kept") + F.aggregate("spared", F.lit(0), lambda n, s: n + 16 + 4 * F.size(s["unless"])))).first()[0]
+    if (held or 0) <= BROADCAST_BYTES:
         labels = F.broadcast(labels)
     both = parsed.join(labels, ["host", "skeleton"])
     found = F.transform("blocks", lambda b: b["slot"])

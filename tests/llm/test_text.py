@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import json
 import random
 import re
 import zlib
@@ -115,6 +116,64 @@ def test_unigram_takes_the_best_sum():
         assert sum(own.scores[i] for i in ids) == pytest.approx(best[len(word)])
 
 
+def test_runs_of_spaces_are_encoded_by_merges_in_time():
+    import time
+
+    import sentencepiece
+
+    model = pieces.default_model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=model), pieces.Pieces(model)
+    rng = random.Random(4)
+    texts = [" " * n + rng.choice(["", "word", "x\n", "é"]) + " " * rng.randrange(9) for n in [*range(1, 70), 200, 1001]]
+    texts += ["".join(rng.choice(["  ", "   ", " a", "b", "\n", "\t"]) for _ in range(60)) for _ in range(200)]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t), repr(t)
+        parts = own.merged(t.replace(" ", pieces.SPACE))
+        assert "".join(parts).replace(pieces.SPACE, " ") == t
+    began = time.time()
+    assert own.decode(own.encode(" " * 200_000 + "end")) == " " * 200_000 + "end"
+    assert time.time() - began < 20
+
+
+def test_scores_decide_in_a_unigram_model():
+    """The same automaton with sums of scores, against all ways to cut a string; a character without a piece goes
+    through as unknown."""
+    own = pieces.Pieces(pieces.default_model())
+    rng = random.Random(6)
+    vocabulary = {x: -float(rng.randrange(1, 40)) for x in ["a", "b", "ab", "ba", "aab", "bb", "abab", "bcb"]}
+    own.ids = {x: k for k, x in enumerate(vocabulary)}
+    own.scores, own.unigram, own.least = list(vocabulary.values()), True, min(vocabulary.values())
+    import ahocorasick
+
+    own.automaton = ahocorasick.Automaton()
+    for x, k in own.ids.items():
+        own.automaton.add_word(x, (len(x), k))
+    own.automaton.make_automaton()
+
+    def best(t):
+        if not t:
+            return 0.0, ()
+        cuts = []
+        for n in range(1, len(t) + 1):
+            if t[:n] in vocabulary or n == 1:
+                score, rest = best(t[n:])
+                cuts.append((score + vocabulary.get(t[:n], own.least - pieces.UNKNOWN_PENALTY), (t[:n], *rest)))
+        return max(cuts)
+
+    for _ in range(150):
+        t = "".join(rng.choice("aabbc") for _ in range(rng.randrange(2, 9)))
+        got, at, total = np.frombuffer(own._segment(t), "<u4").tolist(), 0, 0.0
+        while got:
+            if t[at] not in vocabulary and not any(t.startswith(x, at) and own.ids[x] == got[0] for x in vocabulary):
+                assert got[: len(t[at].encode())] == [own.bytes[x] for x in t[at].encode()]
+                got, at, total = got[len(t[at].encode()) :], at + 1, total + own.least - pieces.UNKNOWN_PENALTY
+            else:
+                x = next(x for x in vocabulary if own.ids[x] == got[0])
+                assert t.startswith(x, at)
+                got, at, total = got[1:], at + len(x), total + vocabulary[x]
+        assert at == len(t) and total == pytest.approx(best(t)[0])
+
+
 def test_encoding_edges(spark):
     rows = {r.doc_id: r for r in pieces.digests(frame(spark, [None, "", "a", "a▁b", "x" * 5000])).collect()}
     assert rows[0].n_ids == rows[1].n_ids == 0 and rows[0].round_trip
@@ -187,6 +246,44 @@ def test_tree_matching_is_the_largest():
     assert wrappers.tree_matching(a, tree(["s", []])) == {}
 
 
+def test_long_alternating_siblings_take_a_second():
+    import time
+
+    began = time.time()
+    pages = ["<main>" + "".join(f"<h2>t{k}</h2><p>x{k}</p>" + f"<ul><li>{k}</li></ul>" * (k % odd == 0) for k in range(4000)) + "</main>" for odd in (3, 7)]
+    roots = []
+    for page in pages:
+        plain, blocks = wrappers.read(page)
+        assert [t for _, t, _ in blocks][:2] == ["t0", "x0"] and sum(t.startswith("x") for _, t, _ in blocks) == 4000
+        roots.append(wrappers._restore(json.loads(plain)))
+        wrappers._number(roots[-1])
+    match = wrappers.tree_matching(*roots)
+    assert len(match) > 8000 and sorted(match.values()) == [match[k] for k in sorted(match)]
+    assert time.time() - began < 20
+
+
+def test_alignment_is_the_best_one_and_keeps_the_order(monkeypatch):
+    rng = random.Random(8)
+    plain = lambda a, b, w: wrappers._by_weight(a, b, w)
+    for _ in range(200):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        weight = lambda x, y: {"x": 1, "y": 3, "z": 2}[x] * (x == y)
+        for limit in (40_000, -1):
+            monkeypatch.setattr(wrappers, "ALIGNED", limit)
+            out = wrappers._aligned(a, b, weight, lambda x, y: x == y, lambda x: x)
+            assert [i for i, _ in out if i is not None] == list(range(len(a))) and [j for _, j in out if j is not None] == list(range(len(b)))
+            pairs = [(i, j) for i, j in out if i is not None and j is not None]
+            assert all(a[i] == b[j] for i, j in pairs)
+            if limit > 0:
+                assert sum(weight(a[i], b[j]) for i, j in pairs) == sum(weight(a[i], b[j]) for i, j in plain(a, b, weight))
+
+
+def test_formulas_and_fallback_texts_are_kept(spark):
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><object data=a.pdf>A file <b>here</b></object><noscript>No script.</noscript><p>See <video src=v>the film</video>.</p></article>"
+    text = "\n".join(t for _, t, _ in wrappers.read(page)[1])
+    assert text == "Let x=2 be.\nA file hereNo script.\nSee the film."
+
+
 # -- language
 
 
