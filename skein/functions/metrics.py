@@ -54,10 +54,19 @@ def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
 
 
+BINS = 1000
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, share_of: float) -> DataFrame:
-    """The value at place ceil(share * n) of the sorted ones: counts of distinct values first, then running sums of
-    these, so that equal values are one row."""
-    per = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    """The value at place ceil(share * n) of the sorted ones. Values are dealt into bins of equal width; their counts (a
+    table of bounded size a group) show the bin of the place, and only its distinct values are put in order."""
+    rows = rows.where(F.col(value).isNotNull()).select(*by, value)
+    bounds = rows.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_all"))
+    place = F.least(F.coalesce(F.try_divide((F.col(value) - F.col("_low")) * BINS, F.col("_high") - F.col("_low")), F.lit(0.0)), F.lit(BINS - 1.0))
+    counts = rows.join(bounds, by).groupBy(*by, "_all", F.floor(place).alias("_bin"), value).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by)
-    placed = per.select(*by, value, F.sum("n").over(w.orderBy(value)).alias("upto"), F.sum("n").over(w).alias("total"))
-    return placed.where(F.col("upto") >= F.ceil(share_of * F.col("total"))).groupBy(*by).agg(F.min(value).alias("value"))
+    bins = counts.groupBy(*by, "_all", "_bin").agg(F.sum("n").alias("n")).withColumn("_upto", F.sum("n").over(w.orderBy("_bin")))
+    wanted = F.ceil(share_of * F.col("_all"))
+    hit = bins.where(F.col("_upto") >= wanted).groupBy(*by).agg(F.min(F.struct("_bin", (F.col("_upto") - F.col("n")).alias("_before"))).alias("h")).select(*by, "h._bin", "h._before")
+    inside = counts.join(hit, [*by, "_bin"]).withColumn("_place", F.col("_before") + F.sum("n").over(w.orderBy(value)))
+    return inside.where(F.col("_place") >= wanted).groupBy(*by).agg(F.min(value).alias(value))

@@ -140,20 +140,36 @@ def ratio(part: Column, whole: Column) -> Column:
     return part / F.greatest(F.lit(1), whole).cast("double")
 
 
-def quality(text: Column, least_alphabetic: float) -> dict[str, Column]:
-    """Ratios over visible characters and tokens, and their weighted noise score."""
+def quality_counts(text: Column) -> dict[str, Column]:
+    """What the ratios of ``quality`` are made of, each counted once. Tokens with two kinds of letters, or letters and
+    digits, are counted in the text itself: a match begins where a token does."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    visible, tokens = count(r"\S"), F.size(words(text))
-    per_token = lambda pattern: F.size(F.filter(words(text), lambda w: w.rlike(pattern)))
-    single = F.size(F.filter(words(text), lambda w: F.length(F.trim(F.regexp_replace(w, GAP + "+", " "))) == 1))
+    both = lambda x, y: count(rf"(?<!\S)(?:(?=\S*{x})(?=\S*{y}))\S+")
+    return {
+        "visible": count(r"\S"),
+        "tokens": count(r"\S+"),
+        "letters": count(r"\p{L}"),
+        "digits": count(r"\p{Nd}"),
+        "symbols": count(r"[^\p{L}\p{N}\s]"),
+        "single": count(rf"(?<!\S)(?:{GAP}(?<!\s))*[\p{{L}}\p{{N}}_](?:{GAP}(?<!\s))*(?!\S)"),
+        "mixed": both(r"\p{IsLatin}", r"\p{IsDevanagari}"),
+        "intrusions": both(r"\p{L}", r"\p{Nd}"),
+        "replaced": count("[\\x{FFFD}□■]"),
+    }
+
+
+def quality(least_alphabetic: float) -> dict[str, Column]:
+    """Ratios over visible characters and tokens, and their weighted noise score, from the columns of
+    ``quality_counts``."""
+    of = lambda part, whole: ratio(F.col(part), F.col(whole))
     out = {
-        "alphabetic_ratio": ratio(count(r"\p{L}"), visible),
-        "digit_ratio": ratio(count(r"\p{Nd}"), visible),
-        "symbol_ratio": ratio(count(r"[^\p{L}\p{N}\s]"), visible),
-        "single_ratio": ratio(single, tokens),
-        "mixed_ratio": ratio(per_token(r"(?s)(?=.*\p{IsLatin})(?=.*\p{IsDevanagari})"), tokens),
-        "intrusion_ratio": ratio(per_token(r"(?s)(?=.*\p{L})(?=.*\p{Nd})"), tokens),
-        "replacement_ratio": ratio(count("[\\x{FFFD}□■]"), visible),
+        "alphabetic_ratio": of("letters", "visible"),
+        "digit_ratio": of("digits", "visible"),
+        "symbol_ratio": of("symbols", "visible"),
+        "single_ratio": of("single", "tokens"),
+        "mixed_ratio": of("mixed", "tokens"),
+        "intrusion_ratio": of("intrusions", "tokens"),
+        "replacement_ratio": of("replaced", "visible"),
     }
     # The weights of the noise score.
     noise = 0.20 * out["symbol_ratio"] + 0.20 * out["digit_ratio"] + 0.15 * out["single_ratio"] + 0.25 * out["mixed_ratio"] + 0.25 * out["intrusion_ratio"] + 0.75 * out["replacement_ratio"] + 1.50 * F.greatest(F.lit(0.0), least_alphabetic - out["alphabetic_ratio"])

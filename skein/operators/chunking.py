@@ -7,7 +7,7 @@ and go through tasks in Arrow batches, without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -92,26 +92,48 @@ def chunk(text: str, sizes: Sizes) -> list[str]:
     return [c for c in out if not sizes.drop or count(c) >= sizes.least]
 
 
-CHUNKERS: dict[str, Callable[[str], list[str]]] = {}
+#: By domain and type of source.
+CHUNKERS: dict[tuple[str, str], Callable[[str], list[str]]] = {}
+# Which domains and types of sources each kind of chunker is for.
+KINDS = {"scientific": (("science",), ("paper", "article", "report")), "classical": (("advaita", "samkhya"), ("scripture", "commentary", "treatise"))}
+FUNCTIONS: dict[str, Callable[[str], list[str]]] = {"scientific": lambda text: chunk(text, SCIENTIFIC), "classical": lambda text: chunk(text, CLASSICAL)}
 
 
-def register(kind: str, function: Callable[[str], list[str]]) -> None:
-    if kind in CHUNKERS:
-        raise ValueError(f"a chunker for {kind} is registered already")
-    CHUNKERS[kind] = function
+def register(function: Callable[[str], list[str]], domains: Iterable[str], types: Iterable[str]) -> None:
+    """For all combinations, none of which may be taken."""
+    for key in ((d, t) for d in domains for t in types):
+        if key in CHUNKERS:
+            raise ValueError(f"a chunker for {key} is registered already")
+        CHUNKERS[key] = function
 
 
-register("scientific", lambda text: chunk(text, SCIENTIFIC))
-register("classical", lambda text: chunk(text, CLASSICAL))
+for _kind, (_domains, _types) in KINDS.items():
+    register(FUNCTIONS[_kind], _domains, _types)
 
 
-def chunked(docs: DataFrame, kind: str) -> DataFrame:
-    """doc_id, number, text, tokens of the chunks."""
-    function = CHUNKERS[kind]
+def resolve(domain: str, source_type: str) -> Callable[[str], list[str]]:
+    try:
+        return CHUNKERS[domain, source_type]
+    except KeyError:
+        raise ValueError(f"no chunker is registered for {domain}, {source_type}") from None
+
 
+def _chunked(rows: DataFrame, choose: Callable[..., Callable[[str], list[str]]], keys: list[str]) -> DataFrame:
     def run(frames):
         for frame in frames:
-            rows = [(d, k, c, count(c)) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for k, c in enumerate(function(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "number", "text", "tokens"])
+            columns = zip(frame["doc_id"], frame["text"], *(frame[k] for k in keys), strict=True)
+            out = [(d, k, c, count(c)) for d, t, *key in columns for k, c in enumerate(choose(*key)(t or ""))]
+            yield pd.DataFrame(out, columns=["doc_id", "number", "text", "tokens"])
+
+    return rows.select("doc_id", "text", *keys).mapInPandas(run, "doc_id long, number int, text string, tokens int")
+
+
+def chunked(docs: DataFrame, kind: str) -> DataFrame:
+    """doc_id, number, text, tokens of the chunks."""
+    function = FUNCTIONS[kind]
+    return _chunked(docs, lambda: function, [])
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, number int, text string, tokens int")
+def dispatched(docs: DataFrame) -> DataFrame:
+    """The same, each row (with domain and source_type) by the chunker registered for it; without one it is an error."""
+    return _chunked(docs, resolve, ["domain", "source_type"])

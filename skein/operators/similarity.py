@@ -1,4 +1,4 @@
-"""Exact set-similarity joins and passage families."""
+"""Exact set-similarity joins between classes of equal sets, and passage families."""
 
 from __future__ import annotations
 
@@ -11,33 +11,74 @@ from skein.operators.components import components
 from skein.sources.scratch import cut
 
 
+def set_rows(sets: DataFrame, least_size: int, columns: Sequence[str] = ()) -> DataFrame:
+    """id, columns, tokens (64-bit hashes, in order) and key (a digest of them) of the sets of at least ``least_size``."""
+    hashed = F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
+    rows = sets.where(F.size("tokens") >= least_size).select("id", *columns, hashed.alias("tokens"))
+    return rows.withColumn("key", F.struct(F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens")))
+
+
+def classes(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """id, rep: of the rows (id and ``by``) that agree in ``by``, the least id. A frequent value is summed before it is
+    shuffled, and the join is one that adaptive execution can split."""
+    reps = cut(rows.groupBy(*by).agg(F.min("id").alias("rep")))
+    return rows.join(reps, list(by)).select("id", "rep")
+
+
 def similar_pairs(sets: DataFrame, threshold: float, same: Sequence[str] = (), least_size: int = 1) -> DataFrame:
-    """a, b, similarity for pairs of rows (id, tokens) with Jaccard similarity of at least ``threshold``, a < b, each of
-    at least ``least_size`` tokens and, if ``same`` is given, equal in these columns.
+    """a, b, similarity for pairs of different sets (id, tokens) with Jaccard similarity of at least ``threshold``, a < b,
+    each of at least ``least_size`` tokens and, if ``same`` is given, equal in these columns.
+
+    Rows of equal sets (and equal ``same``) are one class, named by its least id; pairs are pairs of classes, and
+    ``classes`` over the same rows has the members. So copies cost no pair. Tokens are compared by 64-bit hashes.
 
     Prefix filter, exact: order all tokens by how rare they are. If J(x, y) >= t, x and y share at least t |x| tokens,
     so they share one among the first |x| - ceil(t |x|) + 1 of x and likewise of y. Only these prefixes are joined, by
-    token, and lengths must agree within t. Copies of one set are joined once: equal sets form a class, candidates are
-    found among classes, and members are attached at the end.
+    token, and lengths must agree within t.
     """
     columns = list(same)
-    rows = cut(sets.where(F.size("tokens") >= least_size).select("id", *columns, F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("n", F.size("tokens")))
-    rare = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ordered = rows.select("id", *columns, "n", F.explode("tokens").alias("token")).join(rare, "token").groupBy("id", *columns, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
+    rows = set_rows(sets, least_size, columns)
+    heads = cut(rows.groupBy("key", *columns).agg(F.min_by("tokens", "id").alias("tokens"), F.min("id").alias("id")).select("id", *columns, "tokens").withColumn("n", F.size("tokens")))
+    every = heads.select("id", *columns, "n", F.explode("tokens").alias("token"))
+    rare = every.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = every.join(rare, "token").groupBy("id", *columns, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     prefixes = cut(ordered.select("id", *columns, "n", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["token"])).alias("token")))
     other = prefixes.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token", *columns)
-    pairs = prefixes.withColumnsRenamed({"id": "a", "n": "na"}).join(other, ["token", *columns]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("tokens").alias("x")), rows.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    pairs = prefixes.withColumnsRenamed({"id": "a", "n": "na"}).join(other, ["token", *columns]).where(near).select("a", "b").distinct()
+    left, right = heads.select(F.col("id").alias("a"), F.col("tokens").alias("x")), heads.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared).cast("double")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold - 1e-9)
 
 
+def links(sets: DataFrame, inside: float, across: float, least_size: int) -> DataFrame:
+    """a, b, similarity, kind: the links of rows (id, source, tokens) at ``inside`` in one source (kind: inside) and at
+    ``across`` in different ones (kind: across).
+
+    Copies are not expanded. Inside a source, rows of equal sets are a class named by its least id: links are between
+    classes, and from a class to each other member. Across sources a class is all rows of equal sets: links are between
+    classes that have rows in different sources, and from a class to its least row in each other source.
+    """
+    rows = cut(set_rows(sets, least_size, ["source"]).select("id", "source", "key"))
+    inner = classes(rows, ["source", "key"])
+    outer = rows.groupBy("key").agg(F.min("id").alias("rep"), F.min("source").alias("first"), F.max("source").alias("last"))
+    one = similar_pairs(sets, inside, ["source"], least_size).unionByName(inner.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    found = similar_pairs(sets, across, (), least_size)
+    for side in "ab":
+        found = found.join(outer.select(F.col("rep").alias(side), F.struct("first", "last").alias(f"of_{side}")), side)
+    apart = found.where("NOT (of_a.first = of_a.last AND of_b.first = of_b.last AND of_a.first = of_b.first)").select("a", "b", "similarity")
+    elsewhere = rows.groupBy("key", "source").agg(F.min("id").alias("id")).join(outer.select("key", "rep"), "key").where("rep <> id")
+    two = apart.unionByName(elsewhere.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    return one.withColumn("kind", F.lit("inside")).unionByName(two.withColumn("kind", F.lit("across")))
+
+
 def families(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and family, a digest of the member ids in order, for all members; those without an edge are alone."""
+    """id, family and size for all members; those without an edge are alone. A family's name is by definition a digest
+    of all its ids in order, so they meet in one row, eight bytes each."""
     found = components(edges)
-    labelled = members.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("root"))
+    labelled = cut(members.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("root")))
     listed = labelled.groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    named = listed.select(F.concat(F.lit("pf_"), F.substring(F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), "|"), 256), 1, 20)).alias("family"), F.size("ids").alias("size"), F.explode("ids").alias("id"))
-    return named.select("id", "family", "size")
+    named = listed.select("root", F.concat(F.lit("pf_"), F.substring(F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), "|"), 256), 1, 20)).alias("family"), F.size("ids").alias("size"))
+    return labelled.join(named, "root").select("id", "family", "size")

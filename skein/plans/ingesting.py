@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -9,7 +11,8 @@ from pyspark.sql.types import DoubleType, StringType
 from skein.operators import chunking
 from skein.plans import evidence as E
 from skein.plans.registry import Plans
-from skein.sources import parsers
+from skein.sources import files, parsers
+from skein.sources.scratch import scratch_folder
 from skein.sources.tables import table
 
 plans = Plans()
@@ -21,6 +24,35 @@ def sc5(spark, sf):
     return parsers.parsed(table(spark, sf, "pages"), "html", "page_id", "html")
 
 
+def articles(spark, sf):
+    """Documents as articles: the first line is the title, lines by turns paragraphs of two nested sections."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    lines = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}\p{P}\p{Z}\n]", " "), "\n"), lambda x: F.trim(x) != "")
+    safe = F.transform(lines, lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    turn = lambda of: F.array_join(F.transform(F.filter("l", of), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    odd, even = turn(lambda _, i: i % 2 == 0), turn(lambda _, i: i % 2 == 1)
+    parts = ("<article><front><article-meta><title-group><article-title>", F.get("l", F.lit(0)), "</article-title></title-group></article-meta></front><body><sec><title>One</title>", odd, "<sec><title>Two</title>", even, "</sec></sec></body></article>")
+    return docs.select("doc_id", safe.alias("l")).where(F.size("l") > 0).select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("article"))
+
+
+LINES_OF_ARTICLES_SQL = r"(SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}\p{P}\p{Z}\n]', ' ', 'g'), chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE text IS NOT NULL)"
+
+
+@plans("sc4_jats_units", f"SELECT doc_id AS id, len(l) + 1 AS units, len(l) - len(l) // 2 AS outer_units, CAST(len(l) // 2 AS BIGINT) AS inner_units, true AS titled FROM {LINES_OF_ARTICLES_SQL} WHERE len(l) > 0")
+def sc4(spark, sf):
+    """Units of articles by section."""
+    found = parsers.parsed(articles(spark, sf), "jats", "doc_id", "article")
+    return found.groupBy("id").agg(F.count("*").alias("units"), F.count_if(F.col("heading") == "One").alias("outer_units"), F.count_if(F.col("heading") == "Two").alias("inner_units"), F.bool_or(F.col("kind") == "title").alias("titled"))
+
+
+@plans("sc10_chunker_registry")
+def sc10(spark, sf):
+    """Each document by the chunker of its domain and type of source."""
+    english = F.col("lang") == "en"
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(english, "science").otherwise("samkhya").alias("domain"), F.when(english, "paper").otherwise("treatise").alias("source_type"))
+    return chunking.dispatched(docs)
+
+
 @plans("sc9_parser_registry", "SELECT doc_id AS id, 'text' AS format, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS n FROM documents UNION ALL SELECT page_id, 'html', NULL FROM pages WHERE false")
 def sc9(spark, sf):
     """Each format by its parser; results are united."""
@@ -66,13 +98,13 @@ def g10(spark, sf):
 
 @plans("g11_word_split")
 def g11(spark, sf):
-    """Texts over a limit in pieces at word ends, with an overlap."""
+    """Every text in pieces of a limited size at word ends, with an overlap."""
 
     def run(frames):
         for frame in frames:
             yield pd.DataFrame([(d, k, p) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for k, p in enumerate(chunking.split_words(t or "", 300, 40))], columns=["doc_id", "number", "piece"])
 
-    return table(spark, sf, "documents").where("n_chars > 3000").select("doc_id", "text").mapInPandas(run, "doc_id long, number int, piece string")
+    return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, number int, piece string")
 
 
 @plans("f27_semantic_similarity")
@@ -101,6 +133,27 @@ def sc11(spark, sf):
     return lines.agg(F.count("*").alias("n"), F.sum("o.k").alias("total"))
 
 
+REQUIRED = ("brand", "name", "size", "type")
+
+
+@plans("sc12_config_guard", """SELECT p_partkey, array_to_string(list_sort(list_filter(['brand', 'name', 'size', 'type'], lambda f: (f = 'size' AND p_size % 3 = 0) OR (f = 'type' AND p_size % 5 = 0))), ',') AS missing FROM part""")
+def sc12(spark, sf):
+    """Which required fields each configuration lacks."""
+    part = table(spark, sf, "part")
+    config = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("type")))
+    return part.select("p_partkey", F.array_join(files.missing_fields(config, REQUIRED), ",").alias("missing"))
+
+
+@plans("sc14_atomic_write", "SELECT r_regionkey, r_name FROM region")
+def sc14(spark, sf):
+    """A table written twice to one place, the second time over the first, and read from there."""
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    rows = table(spark, sf, "region").select("r_regionkey", "r_name")
+    files.write_atomic(rows.limit(1), path)
+    files.write_atomic(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @plans("sc13_csv_lines", "SELECT p_partkey, p_name || ',' || p_size AS line FROM part")
 def sc13(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.to_csv(F.struct("p_name", "p_size")).alias("line"))

@@ -110,8 +110,8 @@ MEASURES = ("recall10", "p5", "rr", "ndcg5", "hard10", "margin")
 
 def ranked(spark, sf):
     same, near = F.col("label") == F.col("query_label"), F.col("label") == F.col("query_label") + 1
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return similarities(spark, sf).where("vec_id <> query_id").select("*", same.alias("rel"), F.when(same, 2).when(near, 1).otherwise(0).alias("grade"), (F.col("label") % 5 == 4).alias("hard"), F.row_number().over(w).alias("rank"))
+    rows = similarities(spark, sf).where("vec_id <> query_id").select("*", same.alias("rel"), F.when(same, 2).when(near, 1).otherwise(0).alias("grade"), (F.col("label") % 5 == 4).alias("hard"))
+    return M.ranked_hits(rows, ["query_id"], "rel", "similarity", "vec_id").withColumnRenamed("k", "rank").drop("hits")
 
 
 def query_measures(spark, sf):

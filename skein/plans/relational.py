@@ -199,10 +199,10 @@ def key_difference(spark, sf):
     return docs.subtract(labels).withColumn("side", F.lit("missing")).unionByName(labels.subtract(docs).withColumn("side", F.lit("unexpected")))
 
 
-@plans("u2_prototype_union", "SELECT vec_id, label, 'question' AS role FROM embeddings WHERE vec_id < 20 UNION ALL SELECT vec_id, label, 'passage' FROM embeddings WHERE vec_id BETWEEN 10 AND 60")
+@plans("u2_prototype_union", "SELECT vec_id, label, 'question' AS role FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id, label, 'passage' FROM embeddings WHERE label BETWEEN 2 AND 5")
 def prototype_union(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "label")
-    return rows.where("vec_id < 20").withColumn("role", F.lit("question")).unionByName(rows.where("vec_id BETWEEN 10 AND 60").withColumn("role", F.lit("passage")))
+    return rows.where("label < 3").withColumn("role", F.lit("question")).unionByName(rows.where("label BETWEEN 2 AND 5").withColumn("role", F.lit("passage")))
 
 
 @plans("u4_ordered_refs", "WITH r AS (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role) SELECT conv_id, string_agg(role, '|' ORDER BY first_turn, role) AS refs FROM r GROUP BY conv_id")

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from skein.functions import text as T
 from skein.operators import selection as S
+from skein.operators.similarity import classes, links
 from skein.plans import vectors as V
+from skein.plans.duplicates import links_sql
 from skein.plans.registry import Plans
 from skein.sources.tables import table
 
@@ -18,10 +20,13 @@ RATIOS = {"prototype": 0.50, "development": 0.25, "held": 0.25}
 
 @plans("t5_hash_tiebreak", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN n_chars BETWEEN 500 AND 3000 THEN 0 ELSE 1 END, -(n_chars % 100), sha256(CAST(doc_id AS VARCHAR))) AS rank FROM documents")
 def t5(spark, sf):
-    """Class, score, then a digest of the id."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    w = Window.partitionBy("lang").orderBy(F.when(F.col("n_chars").between(500, 3000), 0).otherwise(1), -(F.col("n_chars") % 100), F.sha2(F.col("doc_id").cast("string"), 256))
-    return docs.select("doc_id", F.row_number().over(w).cast("bigint").alias("rank"))
+    """Class, score, then a digest of the id. Rows are dealt into bins of a class, a score and the first two digits of
+    the digest; a bin starts where the bins before it end, so no task sorts a language."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("n_chars").between(500, 3000), 0).otherwise(1).alias("class"), (-(F.col("n_chars") % 100)).alias("score"), F.sha2(F.col("doc_id").cast("string"), 256).alias("digest"))
+    docs = docs.withColumn("bin", F.struct("class", "score", F.substring("digest", 1, 2).alias("low")))
+    starts = docs.groupBy("lang", "bin").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy("lang", "bin").orderBy("digest")
+    return docs.join(starts, ["lang", "bin"]).select("doc_id", (F.row_number().over(inside) + F.coalesce("start", F.lit(0))).cast("bigint").alias("rank"))
 
 
 @plans("t6_largest_remainder", """
@@ -65,13 +70,18 @@ def t3(spark, sf):
     return S.diverse_top(pool_rows(spark, sf).drop("label"), ["query_id"], k=5)
 
 
-@plans("g2_duplicate_test", "WITH t AS (SELECT doc_id, source, text, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)?'), lambda w: lower(w))) AS s FROM documents WHERE doc_id < 300) SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.doc_id < b.doc_id AND a.source = b.source WHERE lower(a.text) = lower(b.text) OR (len(a.s) >= 12 AND len(b.s) >= 12 AND len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE) >= 0.82)")
+TOKENS_SQL = "sets AS (SELECT doc_id, source, lower(text) AS low, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)?'), lambda w: lower(w)))) AS t FROM documents)"
+
+
+@plans("g2_duplicate_test", f"WITH {TOKENS_SQL}, {links_sql(S.SAME_SOURCE, S.ANY_SOURCE, S.LEAST_TOKENS)}, texts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY low) AS a FROM sets) SELECT a, b FROM inner_links UNION SELECT a, b FROM outer_links UNION SELECT a, doc_id FROM texts WHERE a <> doc_id")
 def g2(spark, sf):
-    """The test of a candidate against the selected, over the pairs of a fixed set of ids inside each source."""
-    few = table(spark, sf, "documents").where("doc_id < 300").select("doc_id", "source", F.lower("text").alias("low"), T.token_set(F.col("text")).alias("s"))
-    a, b = few.select(F.col("doc_id").alias("a"), "source", F.col("low").alias("la"), F.col("s").alias("x")), few.select(F.col("doc_id").alias("b"), "source", F.col("low").alias("lb"), F.col("s").alias("y"))
-    alike = (F.size("x") >= S.LEAST_TOKENS) & (F.size("y") >= S.LEAST_TOKENS) & (T.jaccard(F.col("x"), F.col("y")) >= S.SAME_SOURCE)
-    return a.join(b, "source").where((F.col("a") < F.col("b")) & ((F.col("la") == F.col("lb")) | alike)).select("a", "b")
+    """Which documents the test of a candidate against the selected would call the same, as links between classes of
+    equal token sets and to their members, and from the first document of a text to others with the same."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    alike = links(docs.select("id", "source", T.token_set(F.col("text")).alias("tokens")), S.SAME_SOURCE, S.ANY_SOURCE, S.LEAST_TOKENS)
+    texts = docs.select("id", F.sha2(F.lower("text"), 256).alias("low"))
+    copies = classes(texts, ["low"]).where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return alike.select("a", "b").unionByName(copies).distinct()
 
 
 CAPS, TARGET = {"lang": 40, "source": 6, "section": 3}, 100
@@ -223,23 +233,35 @@ def g13(spark, sf):
     return hard_negatives(docs.select("doc_id", "source", "lang", F.concat("quality", F.lit("/"), "toxic").alias("category"), F.abs(F.col("n_chars") - 1200).alias("off")))
 
 
-@plans("g14_greedy_batches")
+BATCH_ITEMS, BATCH_TOKENS, BATCH_IDS = 16, 8000, 1024
+
+
+def greedy_batches(frame: pd.DataFrame) -> pd.DataFrame:
+    number = items = tokens = 0
+    out = []
+    frame = frame.sort_values("doc_id")
+    for t in frame["tokens"]:
+        if items and (items == BATCH_ITEMS or tokens + t > BATCH_TOKENS):
+            number, items, tokens = number + 1, 0, 0
+        items, tokens = items + 1, tokens + t
+        out.append(number)
+    return frame.assign(batch=out)
+
+
+BATCHES_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, doc_id // {BATCH_IDS} AS block, CAST(greatest(1, ceil(length(text) / 3.0)) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY doc_id // {BATCH_IDS} ORDER BY doc_id) AS k FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, block, tokens, k, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS items, tokens AS held FROM t WHERE k = 1 UNION ALL
+SELECT t.doc_id, t.block, t.tokens, t.k, CASE WHEN fits THEN batch ELSE batch + 1 END, CASE WHEN fits THEN items + 1 ELSE 1 END, CASE WHEN fits THEN held + t.tokens ELSE t.tokens END
+FROM (SELECT s.*, n.tokens AS next_tokens, items < {BATCH_ITEMS} AND held + n.tokens <= {BATCH_TOKENS} AS fits FROM s JOIN t n ON n.block = s.block AND n.k = s.k + 1) p JOIN t ON t.block = p.block AND t.k = p.k + 1)
+SELECT doc_id, tokens, block, batch FROM s"""
+
+
+@plans("g14_greedy_batches", BATCHES_SQL)
 def g14(spark, sf):
-    """Batches of at most 16 texts and 8,000 tokens, in order inside each partition."""
-    rows = table(spark, sf, "documents").select("doc_id", T.batch_tokens(F.col("text")).alias("tokens")).sortWithinPartitions("doc_id")
-
-    def batch(frames):
-        number = items = tokens = 0
-        for frame in frames:
-            out = []
-            for t in frame["tokens"]:
-                if items and (items == 16 or tokens + t > 8000):
-                    number, items, tokens = number + 1, 0, 0
-                items, tokens = items + 1, tokens + t
-                out.append(number)
-            yield frame.assign(batch=out)
-
-    return rows.mapInPandas(batch, "doc_id long, tokens long, batch long")
+    """Batches of at most 16 texts and 8,000 tokens, greedily in the order of ids inside each block of 1,024 ids: a batch
+    is known by its block and number. Rows without an id are in no batch."""
+    rows = table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", T.batch_tokens(F.col("text")).alias("tokens"), F.floor(F.col("doc_id") / BATCH_IDS).alias("block"))
+    return rows.groupBy("block").applyInPandas(greedy_batches, "doc_id long, tokens long, block long, batch long")
 
 
 RULES = {"a": (("thnd", "ertion"), ("hawh", "edin"), ("$$$",)), "b": (("chment", "éreau"), ("eaux", "aile"), ("%%%",))}

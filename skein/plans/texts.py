@@ -132,8 +132,9 @@ SELECT doc_id, round(al / vis, 6) AS alphabetic_ratio, round(sy / vis, 6) AS sym
 
 @plans("f17_quality", QUALITY_SQL)
 def f17(spark, sf):
-    q = T.quality(F.col("text"), 0.55)
-    return docs(spark, sf).select("doc_id", *[F.round(q[c], 6).alias(c) for c in ("alphabetic_ratio", "symbol_ratio", "single_ratio", "intrusion_ratio", "noise")])
+    counted = docs(spark, sf).select("doc_id", *[v.alias(k) for k, v in T.quality_counts(F.col("text")).items()])
+    q = T.quality(0.55)
+    return counted.select("doc_id", *[F.round(q[c], 6).alias(c) for c in ("alphabetic_ratio", "symbol_ratio", "single_ratio", "intrusion_ratio", "noise")])
 
 
 @plans("f18_structure_noise")
@@ -283,6 +284,19 @@ def p11(spark, sf):
     return docs(spark, sf).where((F.col("lang") == "en") & some(("und", "les", "los")) & some(("der", "des", "que"))).select("doc_id")
 
 
+#: Terms of other frameworks, and which of them name one outright.
+FOREIGN, EXPLICIT = ("les", "und", "los", "der", "des", "que"), ("und", "que", "los")
+_HITS_SQL = f"list_filter([{', '.join(repr(t) for t in FOREIGN)}], lambda t: regexp_matches(text, '(?i)(^|{GAP})' || t || '($|{GAP})'))"
+
+
+@plans("u5_explicit_markers", f"WITH h AS (SELECT doc_id, list_sort(list_intersect({_HITS_SQL}, [{', '.join(repr(t) for t in EXPLICIT)}])) AS e FROM documents) SELECT doc_id, 'explicit_foreign_framework:' || array_to_string(e, ',') AS issue FROM h WHERE len(e) > 0")
+def u5(spark, sf):
+    """Terms that are found and explicit, in order."""
+    hits = F.filter(F.array(*[F.when(F.col("text").rlike(rf"(?i)(^|{GAP}){t}($|{GAP})"), F.lit(t)) for t in FOREIGN]), lambda t: t.isNotNull())
+    both = F.array_sort(F.array_intersect(hits, F.array(*map(F.lit, EXPLICIT))))
+    return docs(spark, sf).select("doc_id", both.alias("e")).where(F.size("e") > 0).select("doc_id", F.concat(F.lit("explicit_foreign_framework:"), F.array_join("e", ",")).alias("issue"))
+
+
 FLAG_PATTERNS = {"front_matter": r"(copyright|license|lizenz)", "index_section": r"(\|.*){3}", "references_section": r"https?://", "appendix_section": r"appendix"}
 _FLAGS_SQL = ", ".join(f"regexp_matches(text, '(?i){p}') AS {n}" for n, p in FLAG_PATTERNS.items())
 

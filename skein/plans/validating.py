@@ -204,7 +204,7 @@ def m16(spark, sf):
     from skein.operators.fitting import logistic
 
     rows = table(spark, sf, "embeddings").select(VF.doubles(F.col("embedding")).alias("x"), (F.col("label") == 0).cast("double").alias("y"))
-    return logistic(rows, steps=5)
+    return logistic(rows)
 
 
 QUERIES, SQL = plans.queries, plans.sql

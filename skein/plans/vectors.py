@@ -1,6 +1,7 @@
 """Retrieval, activation and ranking over the embeddings.
 
-The query vectors are a fixed set of ids, so their number does not grow with the table and they may be broadcast.
+The query vectors are the rows whose id is divisible by QUERY_STEP, against all rows. Up to BROADCAST_QUERIES of them go
+to every task; more are joined block by block.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from skein.plans.registry import Plans
 from skein.sources.tables import table
 
 plans = Plans()
-#: Fixed query vectors and, as hard negatives, fixed passages; CONCEPTS are labels.
-QUERY_IDS, NEGATIVE_IDS, CONCEPTS = tuple(range(8)), tuple(range(100, 120)), (0, 1, 2)
+#: Which ids are queries, how many of them may be broadcast (64 numbers each); as hard negatives, a fixed list of
+#: passages; CONCEPTS are labels.
+QUERY_STEP, BROADCAST_QUERIES = 50, 20_000
+NEGATIVE_IDS, CONCEPTS = tuple(range(100, 120)), (0, 1, 2)
 #: Calibration by concept: slope, bias, threshold.
 CALIBRATION = {0: (6.0, -1.0, 0.35), 1: (5.0, -0.5, 0.40), 2: (4.0, -0.8, 0.30)}
 MARGIN = 0.10
+#: Similarities have nine digits; this keeps their sixth off the ties of rounding.
+OFF_TIES = 3e-10
 COS = "round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 9)"
 VEC = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
-QIN = f"({', '.join(map(str, QUERY_IDS))})"
 NIN = f"({', '.join(map(str, NEGATIVE_IDS))})"
 
 
@@ -29,24 +33,26 @@ def rows(spark, sf):
 
 
 def queries(spark, sf):
-    return rows(spark, sf).where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
+    return rows(spark, sf).where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
 
 
 def similarities(spark, sf):
     """query_id, vec_id, label, similarity for a stated query set against all rows."""
-    both = rows(spark, sf).join(F.broadcast(queries(spark, sf)))
+    few = queries(spark, sf)
+    # Beyond the bound, a pair of partitions a task: neither side is held whole anywhere.
+    both = rows(spark, sf).join(F.broadcast(few)) if few.count() <= BROADCAST_QUERIES else rows(spark, sf).crossJoin(few.hint("shuffle_replicate_nl"))
     return both.select("query_id", "query_label", "vec_id", "label", F.round(V.cosine(F.col("q"), F.col("v")), 9).alias("similarity"))
 
 
-SIM_SQL = f"sims AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, {COS.format(a='q.v', b='e.v')} AS similarity FROM ({VEC} WHERE vec_id IN {QIN}) q, ({VEC}) e)"
+SIM_SQL = f"sims AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, {COS.format(a='q.v', b='e.v')} AS similarity FROM ({VEC} WHERE vec_id % {QUERY_STEP} = 0) q, ({VEC}) e)"
 
 
-@plans("j5_topk_cosine", f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, vec_id) AS rank FROM sims WHERE query_id <> vec_id) SELECT query_id, label, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 3")
+@plans("j5_topk_cosine", f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, vec_id) AS rank FROM sims WHERE query_id <> vec_id) SELECT query_id, label, vec_id, round(similarity + 0.0000000003, 6) AS similarity, rank FROM r WHERE rank <= 3")
 def topk_cosine(spark, sf):
     """The best three of each label for each query: ranking with a group limit below the exchange."""
     w = Window.partitionBy("query_id", "label").orderBy(F.desc("similarity"), "vec_id")
     ranked = similarities(spark, sf).where("query_id <> vec_id").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-    return ranked.select("query_id", "label", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    return ranked.select("query_id", "label", "vec_id", F.round(F.col("similarity") + OFF_TIES, 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @plans("p3_minimum_similarity", f"WITH {SIM_SQL} SELECT query_id, vec_id FROM sims WHERE similarity >= 0.20")
@@ -87,9 +93,9 @@ def alignment(spark, sf):
     return lines.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(mean(1 - F.col("l_discount")).alias("alignment"), mean(V.rank_value(label)).alias("relevance"))
 
 
-@plans("m1_cosine", f"WITH {SIM_SQL} SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM sims")
+@plans("m1_cosine", f"WITH {SIM_SQL} SELECT query_id, vec_id, round(similarity + 0.0000000003, 6) AS similarity FROM sims")
 def m1(spark, sf):
-    return similarities(spark, sf).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+    return similarities(spark, sf).select("query_id", "vec_id", F.round(F.col("similarity") + OFF_TIES, 6).alias("similarity"))
 
 
 @plans("m2_l2_normalise", f"SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first_x, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last_x FROM ({VEC})")
@@ -182,9 +188,9 @@ def w2(spark, sf):
     return scored(spark, sf).select("query_id", "label", "vec_id", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
-@plans("t1_order_limit", f"WITH {SIM_SQL} SELECT vec_id, round(similarity, 6) AS similarity FROM sims WHERE query_id = 3 ORDER BY similarity DESC, vec_id LIMIT 25")
+@plans("t1_order_limit", f"WITH {SIM_SQL} SELECT vec_id, round(similarity + 0.0000000003, 6) AS similarity FROM sims WHERE query_id = 3 ORDER BY similarity DESC, vec_id LIMIT 25")
 def t1(spark, sf):
-    return similarities(spark, sf).where("query_id = 3").orderBy(F.desc("similarity"), "vec_id").limit(25).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return similarities(spark, sf).where("query_id = 3").orderBy(F.desc("similarity"), "vec_id").limit(25).select("vec_id", F.round(F.col("similarity") + OFF_TIES, 6).alias("similarity"))
 
 
 @plans("t2_pool", f"WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, similarity DESC, vec_id) AS rank FROM scored) SELECT query_id, vec_id, rank FROM r WHERE rank <= 30")

@@ -10,9 +10,17 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SKIPPED = frozenset(("nav", "script", "style", "head", "footer", "noscript"))
+# What books have that is no text of theirs, by element and by a word of class or id; elements without an
+# end; blocks.
+SKIPPED = frozenset(("head", "script", "style", "nav", "noscript", "svg", "canvas", "form", "footer"))
+SKIPPED_TOKENS = frozenset(("pgheader", "pgfooter", "pg-header", "pg-footer", "pagenum", "page-number", "page_number", "toc", "table-of-contents", "table_of_contents"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# Fixed values of articles: elements that are read elsewhere or not at all, and sections of them.
+JATS_IGNORED = frozenset(("article-id", "label", "permissions", "ref-list", "title"))
+JATS_SKIPPED = frozenset(("ack", "app-group", "back", "funding-group", "notes", "permissions", "ref-list"))
+JATS_DEEPEST = 12
 CHARSET = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
@@ -38,16 +46,15 @@ def decode(data: bytes, declared: str | None = None) -> str:
 
 
 class _Book(HTMLParser):
-    """Blocks with the heading they stand under and a locator of element places."""
+    """Blocks with the heading they stand under and the path of elements to them, each numbered among its like."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip = 0
-        self.places: list[dict[str, int]] = [{}]
-        self.path: list[str] = []
+        #: Open elements: name, locator, how many children of each name so far, whether it is skipped.
+        self.open: list[tuple[str, str, dict[str, int], bool]] = [("", "", {}, False)]
         self.heading = ""
         self.text: list[str] = []
-        self.kind = ""
+        self.kind = self.place = ""
         self.blocks: list[tuple[str, str, str, str]] = []
 
     def close_block(self) -> None:
@@ -55,27 +62,36 @@ class _Book(HTMLParser):
         if text and self.kind:
             if self.kind in HEADINGS:
                 self.heading = text
-            self.blocks.append((self.kind, self.heading, "/".join(self.path), text))
+            self.blocks.append((self.kind, self.heading, self.place, text))
         self.text, self.kind = [], ""
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skip += 1
+        if tag in VOID:
+            if tag == "br" and self.kind:
+                self.text.append(" ")
+            return
         if tag in BLOCKS:
             self.close_block()
-            number = self.places[-1].get(tag, 0) + 1
-            self.places[-1][tag] = number
-            self.path = [*self.path[:0], f"{tag}[{number}]"]
-            self.kind = tag
+            while len(self.open) > 1 and self.open[-1][0] == tag != "blockquote":  # ends that are left out
+                self.open.pop()
+        _, path, counts, skipped = self.open[-1]
+        counts[tag] = counts.get(tag, 0) + 1
+        tokens = {t for key, value in attrs if key in ("class", "id") for t in (value or "").lower().split()}
+        here = f"{path}/{tag}[{counts[tag]}]".lstrip("/")
+        self.open.append((tag, here, {}, skipped or tag in SKIPPED or bool(tokens & SKIPPED_TOKENS)))
+        if tag in BLOCKS:
+            self.kind, self.place = tag, here
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        if tag in BLOCKS and tag == self.kind:
-            self.close_block()
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == tag:
+                if any(name in BLOCKS for name, *_ in self.open[k:]):
+                    self.close_block()
+                del self.open[k:]
+                return
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.open[-1][3]:
             self.text.append(data)
 
 
@@ -88,27 +104,82 @@ def html_blocks(page: str) -> list[tuple[str, str, str, str]]:
     return parser.blocks
 
 
-def jats_blocks(article: str) -> list[tuple[str, str, str, str]]:
-    """Title, abstracts and the units of recursive sections, by place."""
+def _local(e: ET.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+
+
+def _flat(e: ET.Element | None) -> str:
+    return " ".join("".join(e.itertext()).split()) if e is not None else ""
+
+
+def _child(e: ET.Element, name: str) -> ET.Element | None:
+    return next((c for c in e if _local(c) == name), None)
+
+
+def _units(node: ET.Element, default: str, path: str) -> list[tuple[str, str, str]]:
+    """Kind, locator and text of what a section holds itself, in order: figures and tables by their captions, notes and
+    paragraphs whole, other containers by what is in them."""
+    out: list[tuple[str, str, str]] = []
+    places: dict[str, int] = {}
+    for child in node:
+        name = _local(child)
+        places[name] = places.get(name, 0) + 1
+        here = f"{path}/{name}[{places[name]}]"
+        if name in JATS_IGNORED or name in JATS_SKIPPED or name == "sec" or not name:
+            continue
+        if name in ("fig", "table-wrap"):
+            out.append((name, f"{here}/caption", _flat(_child(child, "caption"))))
+        elif name in ("p", "fn", "caption"):
+            out.append(({"p": default}.get(name, name), here, _flat(child)))
+        else:
+            out += _units(child, default, here)
+    return [u for u in out if u[2]]
+
+
+def jats(article: str) -> tuple[list[tuple[str, str, str, str]], list[tuple[str, str]]]:
+    """Blocks (kind, heading, locator, text) and warnings (code, locator) of an article."""
     root = ET.fromstring(article)
-    flat = lambda e: " ".join("".join(e.itertext()).split())
-    out = [("title", "", "front", flat(e)) for e in root.iterfind(".//front//article-title")]
-    out += [("abstract", "", f"front/abstract[{k}]", flat(e)) for k, e in enumerate(root.iterfind(".//front//abstract"), 1)]
-
-    def walk(node, heading, path):
-        places: dict[str, int] = {}
-        for child in node:
-            places[child.tag] = places.get(child.tag, 0) + 1
-            here = f"{path}/{child.tag}[{places[child.tag]}]"
-            if child.tag == "sec":
-                title = child.find("title")
-                walk(child, flat(title) if title is not None else heading, here)
-            elif child.tag in ("p", "fig", "table-wrap", "fn"):
-                out.append((child.tag, heading, here, flat(child)))
-
-    for body in root.iterfind(".//body"):
-        walk(body, "", "body")
-    return [b for b in out if b[3]]
+    if _local(root) != "article":
+        raise ValueError(f"expected an article, found {_local(root)}")
+    blocks: list[tuple[str, str, str, str]] = []
+    warnings: list[tuple[str, str]] = []
+    meta = next((e for e in root.iter() if _local(e) == "article-meta"), None)
+    body = next((e for e in root.iter() if _local(e) == "body"), None)
+    title = _flat(next((e for e in (meta.iter() if meta is not None else ()) if _local(e) == "article-title"), None))
+    if title:
+        blocks.append(("title", "", "front/article-meta/title-group", title))
+    else:
+        warnings.append(("missing_article_title", "front/article-meta/title-group"))
+
+    def section(node: ET.Element, heading: str, default: str, path: str, level: int) -> None:
+        if level > JATS_DEEPEST:
+            warnings.append(("section_depth_exceeded", path))
+            return
+        own = _units(node, default, path)
+        blocks.extend((kind, heading, here, text) for kind, here, text in own)
+        inner = [c for c in node if _local(c) == "sec"]
+        if not own and not inner:
+            warnings.append(("empty_section", path))
+        for k, child in enumerate(inner, 1):
+            here = f"{path}/sec[{k}]"
+            section(child, _flat(_child(child, "title")) or _flat(_child(child, "label")) or f"Section {k}", "p", here, level + 1)
+
+    abstracts = [c for c in meta if _local(c) == "abstract"] if meta is not None else []
+    if meta is None:
+        warnings.append(("missing_article_metadata", "front/article-meta"))
+    elif not abstracts:
+        warnings.append(("missing_abstract", "front/article-meta/abstract"))
+    for k, abstract in enumerate(abstracts, 1):
+        section(abstract, _flat(_child(abstract, "title")) or ("Abstract" if len(abstracts) == 1 else f"Abstract {k}"), "abstract", f"front/article-meta/abstract[{k}]", 0)
+    if body is None:
+        warnings.append(("missing_body", "body"))
+    else:
+        section(body, "Body", "p", "body", 0)
+    return blocks, warnings
+
+
+def jats_blocks(article: str) -> list[tuple[str, str, str, str]]:
+    return jats(article)[0] if article.strip() else []
 
 
 PARSERS: dict[str, Callable[[str], list[tuple[str, str, str, str]]]] = {}

@@ -19,7 +19,7 @@ def test_html_blocks_keep_headings_and_skip_scripts():
 
 def test_jats_sections_are_recursive():
     article = "<article><front><article-meta><title-group><article-title>T</article-title></title-group><abstract><p>A</p></abstract></article-meta></front><body><sec><title>S</title><p>one</p><sec><title>SS</title><p>two <i>x</i></p></sec></sec></body></article>"
-    assert parsers.jats_blocks(article) == [("title", "", "front", "T"), ("abstract", "", "front/abstract[1]", "A"), ("p", "S", "body/sec[1]/p[1]", "one"), ("p", "SS", "body/sec[1]/sec[1]/p[1]", "two x")]
+    assert parsers.jats_blocks(article) == [("title", "", "front/article-meta/title-group", "T"), ("abstract", "Abstract", "front/article-meta/abstract[1]/p[1]", "A"), ("p", "S", "body/sec[1]/p[1]", "one"), ("p", "SS", "body/sec[1]/sec[1]/p[1]", "two x")]
 
 
 def test_decoding():
