@@ -313,6 +313,21 @@ def test_passages_hold_exact_repeats(spark):
     assert all(left[i] == texts[i] for i in range(3, 123, 6))
 
 
+def test_dense_repeats_have_few_windows_and_are_found_whole(spark):
+    """Runs of one word, and short lines over and over, that two texts have at different lengths."""
+    rng = random.Random(33)
+    line = prose(rng, 9)
+    inner = {"run": (["same"] * 700, ["same"] * 60), "line": (line * 90, line * 8), "odd": (["a", "b"] * 400, ["b", "a"] * 33)}
+    for long, short in inner.values():
+        texts = [prose(rng, 40) + short + prose(rng, 40), prose(rng, 60) + long + prose(rng, 60)]
+        search = compactwindows._Windows(50)
+        search({"node": [0, 1], "ord": [0, 1], "text": [" ".join(t) for t in texts]})
+        assert len(search.finish()["x"]) < 8 * (len(texts[0]) + len(texts[1])) * 2 / 23
+        found = compactwindows.passages(by_id(frame(spark, [" ".join(t) for t in texts]))).collect()
+        covered = {k for r in found if r.x == 1 for k in range(r.xa, r.xb)}
+        assert set(range(62, 58 + len(long))) <= covered and covered <= set(range(50, 70 + len(long)))
+
+
 def test_texts_under_one_id_keep_to_themselves(spark):
     """Ids decide nothing: an unrelated text under the id of a repeated one, or under none, is left alone."""
     rng = random.Random(31)
