@@ -18,4 +18,5 @@ QUERIES = {
 }
 SQL = {
     "op4_chat_formatting": chat.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
 }
