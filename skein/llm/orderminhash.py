@@ -15,7 +15,9 @@ Candidates without all pairs. Rows of equal text are one node. In each bucket of
 the least one, each first with the least of all its leads. Verified links give components. While a bucket has members
 of several components, more of its members are compared with all others of other components and then leave it: first
 some of its largest component, then some of the others, then all that are left. Inside a component nothing has to be
-compared; no pair of different components that share a bucket goes without, so no link between classes is lost.
+compared; no pair of different components that share a bucket goes without, so no link between classes is lost. Pairs
+that cannot be similar are left out before their texts are brought together: each text has a bit for each of 256 bins
+of words; a bin that only one of two texts has is a word of it that cannot be aligned.
 
 Defined results. Null or empty text: no words; all such texts are copies of each other. A text of under five words has
 one shingle. Rows are told apart by id and text: rows that share an id, or have none, are different documents if their
@@ -172,19 +174,30 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return map_rows(texts, make, "node long, n int, entries array<long>").dropDuplicates(["node"])
 
 
+BITS = ("b0", "b1", "b2", "b3")
+
+
 def _sequences(texts: DataFrame) -> DataFrame:
-    """node and its words, four bytes each."""
+    """node, its words, four bytes each, and which of 256 bins of words it has."""
 
     def make():
         seen: set = set()
 
         def run(rows):
-            at = once(rows["node"], seen)
-            return {"node": [rows["node"][k] for k in at], "words": [(word_hashes((rows["text"][k] or "").split()) >> np.uint64(32)).astype("<u4").tobytes() for k in at]}
+            out: dict[str, list] = {c: [] for c in ("node", "words", *BITS)}
+            for k in once(rows["node"], seen):
+                words = word_hashes((rows["text"][k] or "").split())
+                bins = np.zeros(256, np.uint8)
+                bins[(words & np.uint64(255)).astype(np.intp)] = 1
+                out["node"].append(rows["node"][k])
+                out["words"].append((words >> np.uint64(32)).astype("<u4").tobytes())
+                for c, v in zip(BITS, np.packbits(bins).view("<i8").tolist(), strict=True):
+                    out[c].append(v)
+            return out
 
         return run
 
-    return map_rows(texts, make, "node long, words binary")
+    return map_rows(texts, make, "node long, words binary, b0 long, b1 long, b2 long, b3 long")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -240,10 +253,20 @@ def _compared(pairs: DataFrame, labels: DataFrame | None, sequences: DataFrame)
     return labels
 
 
+def _can_be_similar() -> Column:
+    """Of a member (n, bits) and a lead: enough words of each could be aligned with the other."""
+    needed = SIMILARITY * F.greatest("n", "lead_n")
+
+    def alone(own: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(own + c).bitwiseAND(F.bitwise_not(F.col(other + c)))) for c in BITS), F.lit(0))
+
+    return (F.col("n") - alone("", "lead_") >= needed) & (F.col("lead_n") - alone("lead_", "") >= needed)
+
+
 def _candidates(members: DataFrame, leads: DataFrame) -> DataFrame:
-    """Members with the leads of their bucket, if their components differ and their lengths allow a link."""
-    both = members.join(leads.withColumnsRenamed({"node": "lead", "n": "lead_n", "part": "lead_part"}), "key")
-    both = both.where((F.col("part") != F.col("lead_part")) & _near_length("n", "lead_n"))
+    """Members with the leads of their bucket, if their components differ and they can be similar."""
+    leads = leads.withColumnsRenamed({"node": "lead", **{c: f"lead_{c}" for c in ("n", "part", *BITS)}})
+    both = members.join(leads, (members["key"] == leads["key"]) & (F.col("part") != F.col("lead_part")) & _near_length("n", "lead_n") & _can_be_similar())
     return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
@@ -267,20 +290,20 @@ def node_classes(texts: DataFrame) -> DataFrame | None:
         rest = left.select("key", "node", "n", F.col("node").alias("part")) if labels is None else _with_parts(left, labels, ("node", "part"))
         rest = cut(rest)
         mixed = rest.groupBy("key", "part").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major")).where("parts > 1")
-        members = cut(rest.join(cut(mixed.select("key", "major")), "key"))
+        members = cut(rest.join(cut(mixed.select("key", "major")), "key").join(sequences.select("node", *BITS), "node"))
         discard(last, rest)
         last = members
         if members.isEmpty():
             break
         turn += 1
         if turn > MAJOR_TURNS + 1:  # all that are left: those outside the largest component with all others
-            leads = members.where("part <> major").select("key", "node", "n", "part")
+            leads = members.where("part <> major").select("key", "node", "n", "part", *BITS)
             labels = _compared(_candidates(members, leads), labels, sequences)
             break
         of_major = turn <= MAJOR_TURNS
         pool = members.where("part = major" if of_major else "part <> major")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(MAJOR_AT_ONCE if of_major else MINOR_AT_ONCE))
-        leads = cut(pool.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("part", "node", "n")).alias("lead")).select("key", "lead.node", "lead.n", "lead.part"))
+        leads = cut(pool.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("part", "node", "n", *BITS)).alias("lead")).select("key", *[f"lead.{c}" for c in ("node", "n", "part", *BITS)]))
         labels = _compared(_candidates(members, leads), labels, sequences)
         left = members.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
     discard(sequences)

@@ -128,6 +128,21 @@ def test_recall_of_near_copies(spark):
     assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+def test_no_pair_that_is_similar_is_left_out_by_its_bins(spark):
+    rng = random.Random(37)
+    texts = []
+    for _ in range(40):
+        base = prose(rng, rng.randrange(5, 120))
+        texts += [" ".join(base), " ".join(edited(rng, base, len(base) // 6)), " ".join(edited(rng, base, len(base) // 3))]
+    rows = orderminhash._sequences(frame(spark, texts).select(orderminhash.F.col("doc_id").alias("node"), "text"))
+    rows = rows.withColumn("n", orderminhash.F.length("words") / 4)
+    both = rows.join(rows.select(*[orderminhash.F.col(c).alias({"node": "lead"}.get(c, f"lead_{c}")) for c in ("node", "n", *orderminhash.BITS)]), orderminhash.F.expr("true"))
+    got = {(r.node, r.lead) for r in both.where(orderminhash._can_be_similar()).select("node", "lead").collect()}
+    every = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    want = {(i, j) for i, j in every if alike(texts[i], texts[j], word_list) >= 0.8}
+    assert want <= got and len(want) > 100 and len(got) < len(every) / 4
+
+
 def test_documents_are_rows_of_id_and_text(spark):
     """Rows that share an id, or have none, are not one document; repeats of a row are, and the pipeline keeps one."""
     rng = random.Random(29)
