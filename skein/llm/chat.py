@@ -130,9 +130,9 @@ escaped AS (
   SELECT *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS e_text,
     replace(replace(role, '\\', '\\\\'), '<|', '<\\|') AS e_role FROM rows)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(e_text) + length(e_role) + {len(START) + len(END) + 2}) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
