@@ -172,9 +172,9 @@ def m8(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(found, 6).alias("quality"))
 
 
-@plans("m9_ramp", f"WITH {SIM_SQL} SELECT query_id, vec_id, round(greatest(0, least(1, (similarity - 0.2) / (0.8 - 0.2))), 6) AS weight FROM sims")
+@plans("m9_ramp", f"WITH {SIM_SQL} SELECT query_id, vec_id, round(greatest(0, least(1, (similarity + 0.0000000003 - 0.2) / (0.8 - 0.2))), 6) AS weight FROM sims")
 def m9(spark, sf):
-    return similarities(spark, sf).select("query_id", "vec_id", V.ramp(F.col("similarity")).alias("weight"))
+    return similarities(spark, sf).select("query_id", "vec_id", V.ramp(F.col("similarity") + OFF_TIES).alias("weight"))
 
 
 @plans("w1_proposal_rank", f"WITH {RAW_SQL} SELECT vec_id, concept, row_number() OVER (PARTITION BY vec_id ORDER BY raw DESC, concept) AS rank FROM raw")
