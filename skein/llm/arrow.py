@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-#: Rows that a function gets at once: bounds what a Python worker holds.
+#: Rows that a function gets at once, and that Spark sends to a Python worker at once: both bound what a worker holds.
 SLICE = 256
+BATCH = 1024
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -24,6 +25,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     NumPy arrays, a whole batch at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     first = arrow.names[0]
 
