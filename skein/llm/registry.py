@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, compactwindows, fingerprint, langid, orderminhash, packing, pieces, pii, quality, wrappers
+from skein.llm import chat, compactwindows, divergence, fingerprint, langid, orderminhash, packing, pieces, pii, quality, whitening, wrappers
 
 QUERIES = {
     "op1_near_duplicates": orderminhash.op1_near_duplicates,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
     "op10_language": langid.op10_language,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 SQL = {
     "op4_chat_formatting": chat.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
