@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, compactwindows, divergence, fingerprint, langid, orderminhash, packing, pieces, pii, quality, whitening, wrappers
+from skein.llm import chat, compactwindows, divergence, fingerprint, jaccard, langid, orderminhash, packing, pieces, pii, quality, whitening, wrappers
 
 QUERIES = {
     "op1_near_duplicates": orderminhash.op1_near_duplicates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_document_fingerprints": fingerprint.op9_document_fingerprints,
     "op10_language": langid.op10_language,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_ngram_jaccard_join": jaccard.op12_ngram_jaccard_join,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 SQL = {
