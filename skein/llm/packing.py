@@ -122,16 +122,25 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Parts none of which exceeds the capacity: the least possible number of them, raised while one does, by as much
-    as its excess over the mean asks for."""
+    """Parts none of which exceeds the capacity. Their number starts at the least possible one (of sizes over a j+1-th
+    of the capacity at most j go together) and rises while a part exceeds it, by as much as its excess over the mean
+    asks for and by twice as much each turn at least; the numbers passed over are searched by halves to a hundredth."""
     total = sum(sizes)
-    k = max(1, -(-total // capacity))
-    while True:
-        parts = differencing(sizes, k)
+    least = [-(-sum((j + 1) * size > capacity for size in sizes) // j) for j in range(1, 9)]
+    k, step, failed, found = max(1, -(-total // capacity), *least), 1, 0, []
+    while not found or k > failed + 1 + k // 100:
+        at = (failed + k) // 2 if found else k
+        parts = differencing(sizes, at)
         most = max(sum(sizes[i] for i in part) for part in parts)
         if most <= capacity:
-            return [part for part in parts if part]
-        k = max(k + 1, int(total / max(1, capacity - (most - total / k))))
+            k, found = at, [part for part in parts if part]
+        else:
+            failed = at
+            if not found:
+                k, step = max(k + step, int(total / max(1, capacity - (most - total / k)))), 2 * step
+        if found and not failed:
+            break
+    return found
 
 
 class _Packer:

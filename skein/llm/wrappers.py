@@ -7,8 +7,11 @@ if their signatures do, and the matching of their children in order that has the
 programming. Over all different pages of the host, a slot whose text is the same on most of them is template, unless a
 page's article would be left without content; varying slots are
 content, unless most of their text is links or they lie in a part that is a menu, header, footer, sidebar, notice,
-advert, form or list of comments by its element, role or class names. Where pages have an article or main element,
-content is what lies in it. Nodes that match nothing are judged by their place alone.
+advert, form or list of comments. Elements and roles say that surely. A class or id says it only if all of its words
+do (site-footer, not market-share), and gives way to the page: html and body have no names, and a name neither takes
+away the page's article nor ``MOST`` of the text of a page without one. A header inside an article is the article's own.
+Where pages have an article or main element, content is what lies in it. Nodes that match nothing are judged by their
+place alone.
 
 Of each different page, digests of its texts are shuffled and summed; no host's pages meet in one task.
 
@@ -42,12 +45,19 @@ ALIGNED = 40_000
 BROADCAST_BYTES = 16 << 20
 DROPPED = frozenset("head nav header footer aside form button fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+#: Words of classes and ids that name such a part, and those that may stand beside them.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies reply share sharing social related recommended widget pagination pager toolbar masthead copyright legal".split()
 )
+LAYOUT = frozenset(
+    "site page main global primary secondary top bottom left right upper lower mobile desktop sticky fixed inner outer container wrapper wrap list area box bar block section region widget widgets slot unit zone panel "
+    "item items link links icons button buttons form post posts article entry content text header title user reader user s the js id c m l col row column".split()
+)
+#: A name takes away less than this share of a page without an article.
+MOST = 0.8
 ARTICLES = frozenset(("article", "main"))
-SPLIT = re.compile(r"[^a-z0-9]+")
+SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -60,13 +70,28 @@ class Skeleton:
         self.sign, self.flags, self.children, self.number = sign, flags, [], -1
 
 
+def _named(node: Node) -> bool:
+    """Whether a class or the id names a part that is no main text."""
+    for name in (*node.attributes.get("class", "").split(), node.attributes.get("id", "")):
+        words = {w.lower() for w in SPLIT.split(name) if w and not w.isdigit()}
+        if words & NAMES and words <= NAMES | LAYOUT:
+            return True
+    return False
+
+
 def _flags(node: Node) -> str:
-    """a: an article or main element; x: a part that is no main text."""
+    """a: an article or main element; x: a part that is no main text by its element or role; n: by its names."""
+    if node.tag in ("html", "body"):
+        return ""
     role = node.attributes.get("role", "").lower()
+    named = "n" if _named(node) else ""
     if node.tag in ARTICLES or role in ARTICLES:
-        return "a"
-    names = {w for key in ("class", "id") for w in SPLIT.split(node.attributes.get(key, "").lower())}
-    return "x" if node.tag in DROPPED or role in ROLES or names & NAMES or "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true" else ""
+        return "a" + named
+    return "x" if node.tag in DROPPED or role in ROLES or "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true" else named
+
+
+def _tag(sign: str) -> str:
+    return sign.split("!", 1)[0].split(".", 1)[0]
 
 
 def _runs(node: Node) -> list[tuple[str, list[Node]]]:
@@ -328,13 +353,14 @@ def _wrappers(rows: DataFrame) -> DataFrame:
     slots = texts.groupBy("host", "place").agg(F.max("pages").alias("top"), *[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
     # A wrapper has a bounded number of places, whatever the number of its pages.
     facts = slots.groupBy("host").agg(F.collect_list(F.struct("place", "top", "pages", "chars", "linked")).alias("facts"))
-    joined = skeletons.select("host", "skeleton", "plain").join(matched, ["host", "skeleton"]).join(facts, "host", "left")
+    own = counts.groupBy("host", "skeleton", "slot").agg(F.sum("chars").alias("chars")).groupBy("host", "skeleton").agg(F.collect_list(F.struct("slot", "chars")).alias("sizes"))
+    joined = skeletons.select("host", "skeleton", "plain").join(matched, ["host", "skeleton"]).join(own, ["host", "skeleton"], "left").join(facts, "host", "left")
 
     def make_labels():
         def run(rows):
             out: dict[str, list] = {"host": rows["host"], "skeleton": rows["skeleton"], "kept": [], "spared": []}
-            for plain, places, facts_of in zip(rows["plain"], rows["places"], rows["facts"], strict=True):
-                kept, spared = judged(_restore(json.loads(plain)), places, {f["place"]: f for f in facts_of or ()})
+            for plain, places, facts_of, sizes in zip(rows["plain"], rows["places"], rows["facts"], rows["sizes"], strict=True):
+                kept, spared = judged(_restore(json.loads(plain)), places, {f["place"]: f for f in facts_of or ()}, {f["slot"]: f["chars"] for f in sizes or ()})
                 out["kept"].append(kept)
                 out["spared"].append([{"slot": slot, "unless": unless} for slot, unless in spared])
             return out
@@ -344,24 +370,54 @@ def _wrappers(rows: DataFrame) -> DataFrame:
     return map_rows(joined, make_labels, "host string, skeleton long, kept array<int>, spared array<struct<slot:int,unless:array<int>>>")
 
 
-def judged(root: Skeleton, places: list[int], facts: dict[int, dict]) -> tuple[list[int], list[tuple[int, list[int]]]]:
+def _places(nodes: list[Skeleton], sizes: dict[int, int]) -> dict[int, str]:
+    """Flags of all elements that each node lies in, without those of names that give way. ``nodes`` are in order of
+    the page, ``sizes`` their own characters."""
+    parent = {c.number: n.number for n in nodes for c in n.children}
+    flags = {n.number: n.flags for n in nodes}
+    path: dict[int, str] = {}
+
+    def follow() -> None:
+        for n in nodes:
+            around = path[parent[n.number]] if n.number in parent else ""
+            # A header inside an article is the article's own.
+            path[n.number] = around + ("" if _tag(n.sign) == "header" and "a" in around else flags[n.number])
+
+    follow()
+    chars = {n.number: 0 if "x" in path[n.number] else sizes.get(n.number, 0) for n in nodes}
+    for n in reversed(nodes):
+        if n.number in parent:
+            chars[parent[n.number]] += chars[n.number]
+    articles = [n.number for n in nodes if "a" in flags[n.number] and "x" not in path[n.number]]
+    if articles and all("n" in path[k] for k in articles):
+        k = max(articles, key=lambda k: (chars[k], -k))
+        while k in parent:
+            flags[k] = flags[k].replace("n", "")
+            k = parent[k]
+    elif not articles:
+        for n in nodes:
+            if "n" in flags[n.number] and chars[n.number] >= MOST * chars[nodes[0].number]:
+                flags[n.number] = ""
+    follow()
+    return path
+
+
+def judged(root: Skeleton, places: list[int], facts: dict[int, dict], sizes: dict[int, int] | None = None) -> tuple[list[int], list[tuple[int, list[int]]]]:
     """The slots of a skeleton that are content by their place and by what the host's pages have there, and those of
     articles that are constant, each with the content slots of its article: it is content on a page with none of them."""
     nodes = _number(root)
-    inside: dict[int, str] = {0: ""}
+    inside = _places(nodes, sizes or {})
     # The articles that a node lies in, the innermost last.
     articles: dict[int, tuple[int, ...]] = {0: ()}
     for node in nodes:
         for child in node.children:
-            # A header inside an article is the article's own.
-            own = "" if child.sign.startswith("header!") and "a" in inside[node.number] else child.flags
-            inside[child.number] = inside[node.number] + own
-            articles[child.number] = (*articles[node.number], child.number) if "a" in own else articles[node.number]
-    has_article = any("a" in x and "x" not in x for x in inside.values())
+            articles[child.number] = (*articles[node.number], child.number) if "a" in child.flags else articles[node.number]
+    dropped = {k for k, where in inside.items() if "x" in where or "n" in where}
+    has_article = any("a" in where and k not in dropped for k, where in inside.items())
     kept, constant = [], []
     for node in nodes:
         where = inside[node.number]
-        if "x" in where or (has_article and "a" not in where):
+        if node.number in dropped or (has_article and "a" not in where):
             continue
         fact = facts.get(places[node.number])
         if fact:

@@ -42,6 +42,20 @@ def test_window_count_rises_when_full():
     assert packing.balanced([], 5) == []
 
 
+def test_balancing_ends_soon():
+    """Sizes just over half, just over a third and just over a quarter of the capacity, and mixtures."""
+    import time
+
+    rng = random.Random(9)
+    began = time.time()
+    for sizes in ([2049] * 1023, [1366] * 1023, [1025] * 1023, [rng.choice((2049, 1366, 1025, 700)) for _ in range(1023)]):
+        parts = packing.balanced(sizes, 4096)
+        assert sorted(i for p in parts for i in p) == list(range(1023))
+        assert max(sum(sizes[i] for i in p) for p in parts) <= 4096
+        assert len(parts) <= 1.5 * max(sum(sizes) / 4096, sum(2 * s > 4096 for s in sizes))
+    assert time.time() - began < 40
+
+
 def check_pieces(rows, texts, window):
     from tokenizers import Tokenizer
 
@@ -234,6 +248,35 @@ def test_no_article_is_left_without_content(spark):
     assert got == {k: f"Title {k}" for k in range(30)}
 
 
+def whole(spark, pages):
+    rows = [(k, f"http://c.com/{k}", p) for k, p in enumerate(pages)]
+    return ["\n".join(r.blocks) for r in sorted(wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_names_do_not_take_main_text(spark):
+    """Ordinary class names around and inside the main text, each page on a host of its own kind."""
+    pages = [
+        '<article class="post"><header class="entry-header"><h1>Title</h1></header><p>Text one.</p></article>',
+        '<html><body class="post has-sidebar"><article><h1>Title</h1><p>Text two.</p></article></body></html>',
+        '<html><body class="sidebar"><h1>Title</h1><p>Text three.</p></body></html>',
+        '<div class="legal-news"><h1>Title</h1><p>Text four.</p></div>',
+        '<article><h1>Title</h1><p class="market-share">Text five.</p></article>',
+        '<div id="menu"><article><h1>Title</h1><p>Text six.</p></article></div>',
+        '<div class="notice"><h1>Title</h1><p>' + "Text seven. " * 20 + '</p></div><p>Beside</p>',
+    ]
+    got = whole(spark, pages)
+    assert got[:6] == [f"Title\nText {w}." for w in ("one", "two", "three", "four", "five", "six")]
+    assert got[6].startswith("Title\nText seven.")
+
+
+def test_names_that_say_what_a_part_is(spark):
+    """Whole names of menus, notices, adverts and comments go, comments in articles of their own among them."""
+    parts = ['<div class="site-footer">f</div>', '<div id="mainNav">n</div>', '<div class="cookie-notice">c</div>', '<section class="ad-slot">a</section>', '<div class="sidebar left">s</div>', '<ol class="comment-list"><li>r</li></ol>', '<section class="comments"><article class="comment"><p>' + "long reply " * 50 + "</p></article></section>", '<article class="comment"><p>' + "other reply " * 50 + "</p></article>"]
+    pages = [f"{part}<article><h1>Title</h1><p>Text.</p></article>" for part in parts] + [f"<article><h1>Title</h1>{part}<p>Text.</p></article>" for part in parts[:6]]
+    pages += [f'<div class="story"><h1>Title</h1><p>Text.</p></div>{part}' for part in parts[:6]]
+    assert set(whole(spark, pages)) == {"Title\nText."}
+
+
 def test_tree_matching_is_the_largest():
     def tree(plain):
         root = wrappers._restore(plain)
