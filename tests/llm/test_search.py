@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import compactwindows, orderminhash, pii
 from skein.llm.shingles import labelled, shingles
@@ -479,3 +480,22 @@ def test_disclosures_against_brute_force(spark, monkeypatch):
     assert "term" in direct[60][0] and "zorblax" not in direct[60][1] and direct[65][1] == "zorblax alone"
     monkeypatch.setattr(pii, "BROADCAST_PAIRS", 0)
     assert {r.doc_id: (r.spans, r.text) for r in pii.sanitise(docs).collect()} == direct
+
+
+def test_a_common_line_brings_few_windows_together(spark):
+    """A line of 40 words, under a passage, in every text: the pairs that are compared grow with the texts; passages
+    that some of the texts share beside the line are found."""
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randrange(1 << 30)}" for _ in range(n)]
+    counts = []
+    for n in (100, 200):
+        line, tail = own(40), own(30)
+        texts = [" ".join(own(60) + line + (tail if i in (n // 2, n - 3) else own(30)) + own(30)) for i in range(n)]
+        windows = compactwindows.candidate_pairs(by_id(frame(spark, texts)), 50)
+        known = windows.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        sequences = compactwindows._packed(by_id(frame(spark, texts)), known)
+        groups = windows.select("grp").distinct()
+        counts.append(compactwindows._rest(windows, groups, sequences, 50, 0.8).count())
+        found = {(r.x, r.y) for r in compactwindows.passages(by_id(frame(spark, texts))).collect()}
+        assert found == {(n - 3, n // 2)}
+    assert counts[1] < 2.5 * counts[0]
