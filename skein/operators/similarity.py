@@ -53,24 +53,34 @@ def similar_pairs(sets: DataFrame, threshold: float, same: Sequence[str] = (), l
     return scored.where(F.col("similarity") >= threshold - 1e-9)
 
 
-def links(sets: DataFrame, inside: float, across: float, least_size: int) -> DataFrame:
-    """a, b, similarity, kind: the links of rows (id, source, tokens) at ``inside`` in one source (kind: inside) and at
-    ``across`` in different ones (kind: across).
+def _class_rows(sets: DataFrame, least_size: int) -> DataFrame:
+    return cut(set_rows(sets, least_size, ["source"]).select("id", "source", "key"))
 
-    Copies are not expanded. Inside a source, rows of equal sets are a class named by its least id: links are between
-    classes, and from a class to each other member. Across sources a class is all rows of equal sets: links are between
-    classes that have rows in different sources, and from a class to its least row in each other source.
-    """
-    rows = cut(set_rows(sets, least_size, ["source"]).select("id", "source", "key"))
-    inner = classes(rows, ["source", "key"])
-    outer = rows.groupBy("key").agg(F.min("id").alias("rep"), F.min("source").alias("first"), F.max("source").alias("last"))
-    one = similar_pairs(sets, inside, ["source"], least_size).unionByName(inner.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    found = similar_pairs(sets, across, (), least_size)
+
+def links_inside(sets: DataFrame, threshold: float, least_size: int) -> DataFrame:
+    """a, b, similarity: rows (id, source, tokens) of equal sets in a source are a class named by its least id; links are
+    between classes of a source, and from a class to each other member."""
+    members = classes(_class_rows(sets, least_size), ["source", "key"]).where("rep <> id")
+    return similar_pairs(sets, threshold, ["source"], least_size).unionByName(members.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def links_across(sets: DataFrame, threshold: float, least_size: int) -> DataFrame:
+    """a, b, similarity: a class is all rows of equal sets; links are between classes that have rows in different sources,
+    and from a class to its least row in each other source."""
+    rows = _class_rows(sets, least_size)
+    outer = cut(rows.groupBy("key").agg(F.min("id").alias("rep"), F.min("source").alias("first"), F.max("source").alias("last")))
+    found = similar_pairs(sets, threshold, (), least_size)
     for side in "ab":
         found = found.join(outer.select(F.col("rep").alias(side), F.struct("first", "last").alias(f"of_{side}")), side)
     apart = found.where("NOT (of_a.first = of_a.last AND of_b.first = of_b.last AND of_a.first = of_b.first)").select("a", "b", "similarity")
     elsewhere = rows.groupBy("key", "source").agg(F.min("id").alias("id")).join(outer.select("key", "rep"), "key").where("rep <> id")
-    two = apart.unionByName(elsewhere.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    return apart.unionByName(elsewhere.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def links(sets: DataFrame, inside: float, across: float, least_size: int) -> DataFrame:
+    """a, b, similarity, kind: the links of rows at ``inside`` in one source (kind: inside) and at ``across`` in different
+    ones (kind: across). Copies are not expanded."""
+    one, two = links_inside(sets, inside, least_size), links_across(sets, across, least_size)
     return one.withColumn("kind", F.lit("inside")).unionByName(two.withColumn("kind", F.lit("across")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators.similarity import classes, families, links, set_rows
+from skein.operators.similarity import classes, families, links, links_across, links_inside, set_rows
 from skein.plans.registry import Plans
 from skein.sources.scratch import cut
 from skein.sources.tables import table
@@ -45,20 +45,16 @@ def all_links(spark, sf):
     return links(sets(spark, sf), 0.72, 0.94, 12)
 
 
-def of_kind(spark, sf, kind):
-    return all_links(spark, sf).where(F.col("kind") == kind).select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 @plans("j7_near_dup_same_source", f"WITH {PAIRS_SQL} SELECT a, b, round(j, 6) AS similarity FROM inner_links")
 def j7(spark, sf):
     """Pairs of classes of equal sets in a source, and the members of each class."""
-    return of_kind(spark, sf, "inside")
+    return links_inside(sets(spark, sf), 0.72, 12).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @plans("j8_near_dup_cross_source", f"WITH {PAIRS_SQL} SELECT a, b, round(j, 6) AS similarity FROM outer_links")
 def j8(spark, sf):
     """Pairs of classes of equal sets that have rows in different sources, and a class's first row in each other one."""
-    return of_kind(spark, sf, "across")
+    return links_across(sets(spark, sf), 0.94, 12).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 LEAKS_SQL = f"""{PAIRS_SQL}, units AS (SELECT rep, srep, source, doc_id % 4 AS split, min(doc_id) AS unit FROM cls GROUP BY rep, srep, source, doc_id % 4),

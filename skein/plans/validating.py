@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import vectors as VF
 from skein.plans import vectors as V
 from skein.plans.registry import Plans
+from skein.sources.keyed import KeyedTable
+from skein.sources.scratch import scratch_folder
 from skein.sources.tables import table
 
 plans = Plans()
@@ -137,13 +141,14 @@ def sc3(spark, sf):
     return rows.groupBy("item").agg(F.min("f").alias("f")).select("item", "f.url")
 
 
-@plans("sc15_cache_append", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(known) AS BIGINT) AS n_known FROM (SELECT text, bool_or(doc_id < 200) AS known FROM documents GROUP BY text)")
+@plans("sc15_cache_append", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(known) AS BIGINT) AS n_known FROM (SELECT text, bool_or(lang = 'en') AS known FROM documents WHERE text IS NOT NULL GROUP BY text)")
 def sc15(spark, sf):
-    """Keys that a cache lacks are appended: an anti-join on the key."""
-    keys = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
-    cache = keys.where("doc_id < 200").select("k").distinct()
-    fresh = keys.join(cache, "k", "left_anti").select("k").distinct()
-    return cache.withColumn("known", F.lit(1)).unionByName(fresh.withColumn("known", F.lit(0))).agg(F.count("*").alias("n"), F.sum("known").alias("n_known"))
+    """A cache of one row a text, filled from one language, then from all: the second batch adds only what it lacks."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("k"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("known"))
+    cache = KeyedTable.create(spark, f"{scratch_folder(spark)}/{uuid.uuid4().hex}", docs.schema, ["k"], 16)
+    cache.merge(docs.where("known"), "first", 1, keep="old")
+    cache.merge(docs.withColumn("known", F.lit(False)), "second", 1, keep="old")
+    return cache.read().agg(F.count("*").alias("n"), F.count_if("known").alias("n_known"))
 
 
 @plans("sc16_named_columns", "SELECT p_partkey, p_brand FROM part WHERE p_size = 7")
@@ -153,10 +158,15 @@ def sc16(spark, sf):
 
 @plans("sc17_upsert", "WITH new AS (SELECT c_custkey, c_acctbal + 100 AS c_acctbal FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey + 10000000, 1.0 FROM customer WHERE c_custkey % 50 = 0) SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM new UNION ALL SELECT c_custkey, round(c_acctbal, 2) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)")
 def sc17(spark, sf):
-    """New rows replace those of their key."""
+    """New rows replace those of their key in a stored table; the batch is sent twice, the second time with other values,
+    and counts once."""
     old = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     new = old.where("c_custkey % 7 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 100).unionByName(old.where("c_custkey % 50 = 0").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), F.lit(1.0).alias("c_acctbal")))
-    return new.unionByName(old.join(new, "c_custkey", "left_anti")).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+    stored = KeyedTable.create(spark, f"{scratch_folder(spark)}/{uuid.uuid4().hex}", old.schema, ["c_custkey"], 16)
+    stored.merge(old, "load", 1)
+    stored.merge(new, "load", 2)
+    stored.merge(new.withColumn("c_acctbal", F.lit(0.0)), "load", 2)
+    return stored.read().select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 @plans("w12_sibling_ordinals", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS ordinal FROM conversations")
