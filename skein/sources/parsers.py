@@ -116,9 +116,26 @@ def _child(e: ET.Element, name: str) -> ET.Element | None:
     return next((c for c in e if _local(c) == name), None)
 
 
+def _cells(grid: ET.Element) -> str:
+    """The cells of a table in order, apart by spaces; what lies outside cells comes where it stands."""
+    parts: list[str] = []
+
+    def walk(e: ET.Element) -> None:
+        if _local(e) in ("td", "th"):
+            parts.append(_flat(e))
+        else:
+            parts.append(e.text or "")
+            for child in e:
+                walk(child)
+                parts.append(child.tail or "")
+
+    walk(grid)
+    return " ".join(" ".join(parts).split())
+
+
 def _units(node: ET.Element, default: str, path: str) -> list[tuple[str, str, str]]:
-    """Kind, locator and text of what a section holds itself, in order: figures and tables by their captions, notes and
-    paragraphs whole, other containers by what is in them."""
+    """Kind, locator and text of what a section holds itself, in order: figures and tables by their captions, then
+    the cells of tables, notes and paragraphs whole, other containers by what is in them."""
     out: list[tuple[str, str, str]] = []
     places: dict[str, int] = {}
     for child in node:
@@ -129,6 +146,7 @@ def _units(node: ET.Element, default: str, path: str) -> list[tuple[str, str, st
             continue
         if name in ("fig", "table-wrap"):
             out.append((name, f"{here}/caption", _flat(_child(child, "caption"))))
+            out += [("table", f"{here}/table[{k}]", _cells(t)) for k, t in enumerate((e for e in child.iter() if _local(e) == "table"), 1)]
         elif name in ("p", "fn", "caption"):
             out.append(({"p": default}.get(name, name), here, _flat(child)))
         else:
@@ -174,7 +192,10 @@ def jats(article: str) -> tuple[list[tuple[str, str, str, str]], list[tuple[str,
     if body is None:
         warnings.append(("missing_body", "body"))
     else:
+        before = len(blocks)
         section(body, "Body", "p", "body", 0)
+        if len(blocks) == before and not any(_local(c) == "sec" for c in body):
+            warnings[-1] = ("empty_body", "body")
     return blocks, warnings
 
 
@@ -197,12 +218,19 @@ register("text", lambda text: [("p", "", f"line[{k}]", t.strip()) for k, t in en
 
 
 def parsed(rows: DataFrame, format_name: str, id_col: str, text_col: str) -> DataFrame:
-    """id, number, kind, heading, locator, text of the blocks of each row."""
+    """id, number, kind, heading, locator, text of the blocks of each row. A row that its parser refuses gives one row
+    of the kind ``error`` with the reason as its text, and the others go on. Null and empty texts have no blocks."""
     parse = PARSERS[format_name]
 
     def run(frames):
         for frame in frames:
-            blocks = [(i, k, *b) for i, t in zip(frame["id"], frame["text"], strict=True) for k, b in enumerate(parse(t or ""))]
+            blocks = []
+            for i, t in zip(frame["id"], frame["text"], strict=True):
+                try:
+                    found = parse(t or "")
+                except (ET.ParseError, ValueError) as fault:
+                    found = [("error", "", "", str(fault))]
+                blocks += [(i, k, *b) for k, b in enumerate(found)]
             yield pd.DataFrame(blocks, columns=["id", "number", "kind", "heading", "locator", "text"])
 
     return rows.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInPandas(run, "id long, number int, kind string, heading string, locator string, text string")

@@ -86,3 +86,12 @@ def test_platt_has_no_negative_slope(spark):
     rows = spark.createDataFrame([(0, x / 10, float(x < 5)) for x in range(10)] + [(1, x / 10, float(x > 5)) for x in range(10)], "concept int, raw double, target double")
     got = {r.concept: r.slope for r in fitting.platt(rows).collect()}
     assert got[0] >= 0 and got[1] > got[0]
+
+
+def test_tables_of_articles_and_rows_that_cannot_be_parsed(spark):
+    whole = "<article><front/><body><sec><title>S</title><table-wrap><caption><p>cap</p></caption><table><tr><th>a</th><th>b <i>c</i></th></tr><tr><td>1</td><td/></tr></table></table-wrap></sec></body></article>"
+    rows = spark.createDataFrame([(1, whole), (2, "<article><front>"), (3, "<book/>"), (4, None), (5, "")], "doc_id long, article string")
+    found = [(r.id, r.kind, r.locator, r.text) for r in parsers.parsed(rows, "jats", "doc_id", "article").orderBy("id", "number").collect()]
+    assert found[:2] == [(1, "table-wrap", "body/sec[1]/table-wrap[1]/caption", "cap"), (1, "table", "body/sec[1]/table-wrap[1]/table[1]", "a b c 1")]
+    assert [(i, k) for i, k, _, _ in found[2:]] == [(2, "error"), (3, "error")] and all(t for *_, t in found)
+    assert ("empty_body", "body") in parsers.jats("<article><front/><body><p> </p></body></article>")[1]
