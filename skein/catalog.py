@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import duplicates, evidence, ingesting, measures, relational, selecting, texts, validating, vectors
+from skein.plans import duplicates, evidence, ingesting, measures, parsing, relational, selecting, texts, validating, vectors
 
-MODULES = (relational, texts, vectors, measures, duplicates, evidence, ingesting, selecting, validating)
+MODULES = (relational, texts, vectors, measures, duplicates, evidence, ingesting, parsing, selecting, validating)
 FLAGSHIP = "j5_topk_cosine"
 
 
