@@ -9,8 +9,10 @@ every global order of tokens: the prefix has n - ceil(0.9 n) + l of the n tokens
    are dead, and so are nodes with fewer than l tokens that are not: nothing outside their component can be similar.
    Of the nodes that are left, all tokens are ordered by how many of these nodes have them. Nodes of different
    components are a candidate if they share a token of that prefix at places i and j with 19 (i + j) <= n1 + n2 (what
-   comes before the first common token is in one set only) and sizes 9 to 10. Candidates must share l tokens of their
-   prefixes by hash as well; the sets of those that pass both filters are compared.
+   comes before the first common token is in one set only), sizes 9 to 10, and parities of 512 bins of tokens that
+   differ in no more bins than sets so similar may differ in tokens: near copies that miss the threshold by a few tokens
+   make no pair. Candidates must share l tokens of their prefixes by hash as well; the sets of those that pass all
+   filters are compared.
 
 No pair inside a component is compared once it is known, and a token that many nodes have comes last in the order of
 frequencies: a common passage brings nodes together only if nearly all of both is as common.
@@ -45,6 +47,8 @@ LEAST, SMALL = 90, 9
 ORDERS = 4
 #: Shared tokens asked for in the prefix by hash: one in so many of the set.
 SHARED = 20
+#: Bins whose parities tell how far two sets are apart at least, as 64-bit numbers.
+BIT_WORDS = 8
 #: Texts, and sets, that a task remembers.
 REMEMBERED, SETS = 200_000, 16
 _MULTIPLIERS = family(ORDERS, 12)
@@ -77,17 +81,26 @@ def _keys(found: np.ndarray) -> list[int]:
     return mix(mix(table[:, 1] + table[:, 0]) * _MULTIPLIERS[0] + table[:, 2]).view(np.int64).tolist()
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """A bit for each bin of tokens: whether an odd number of the set is in it. A token that one of two sets has alone
+    changes one bit, so two sets differ in at least as many tokens as bits."""
+    bins = 64 * BIT_WORDS
+    counts = np.bincount((found % np.uint64(bins)).astype(np.intp), minlength=bins)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
+
+
 class _Profiles:
-    """doc_id, hash (of the text), node (hash of its set), n (its size), and once a node and task its keys and prefix."""
+    """doc_id, hash (of the text), node (hash of its set), n (its size), and once a node and task its keys, prefix and
+    parities."""
 
     def __init__(self) -> None:
         self.known: dict[int, tuple[int, int]] = {}
         self.sent: set[int] = set()
 
     def __call__(self, rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "hash": rows["hash"], "node": [], "n": [], "keys": [], "prefix": []}
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "hash": rows["hash"], "node": [], "n": [], "keys": [], "prefix": [], "bits": []}
         for name, text in zip(rows["hash"], rows["text"], strict=True):
-            keys = prefix = None
+            keys = prefix = bits = None
             if name not in self.known:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -97,9 +110,9 @@ class _Profiles:
                 self.known[name] = node, len(found)
                 if len(found) >= SMALL and node not in self.sent:
                     self.sent.add(node)
-                    keys, prefix = _keys(found), found[: window(len(found))].view(np.int64).tolist()
+                    keys, prefix, bits = _keys(found), found[: window(len(found))].view(np.int64).tolist(), parities(found)
             node, n = self.known[name]
-            for column, value in (("node", node), ("n", n), ("keys", keys), ("prefix", prefix)):
+            for column, value in (("node", node), ("n", n), ("keys", keys), ("prefix", prefix), ("bits", bits)):
                 out[column].append(value)
         return out
 
@@ -108,6 +121,12 @@ def _sizes_agree(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST
 
 
+def _not_far(bits: str, other: str, a: str, b: str) -> Column:
+    """Sets of similarity 0.9 differ in no more than a nineteenth of their sizes' sum."""
+    apart = sum((F.bit_count(F.col(bits)[k].bitwiseXOR(F.col(other)[k])) for k in range(BIT_WORDS)), F.lit(0))
+    return apart * (100 + LEAST) <= (F.col(a) + F.col(b)) * (100 - LEAST)
+
+
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both > 0 and 100 * both >= LEAST * (len(x) + len(y) - both)
@@ -134,7 +153,7 @@ class _Join:
     def __init__(self, docs: DataFrame) -> None:
         texts = docs.select("doc_id", text_hash().alias("hash"), F.col("text").cast("binary").alias("text"))
         self.texts = texts.select("hash", "text")
-        self.rows = cut(map_rows(texts, _Profiles, "doc_id long, hash long, node long, n int, keys array<long>, prefix array<long>"))
+        self.rows = cut(map_rows(texts, _Profiles, "doc_id long, hash long, node long, n int, keys array<long>, prefix array<long>, bits array<long>"))
         self.nodes = self.rows.where("keys IS NOT NULL")
 
     def wanted(self, nodes: DataFrame) -> DataFrame:
@@ -158,8 +177,8 @@ class _Join:
         return self.compared(cut(pairs), None)
 
     def alive(self, labels: DataFrame | None) -> DataFrame:
-        """node, n, part, prefix: the nodes that may be similar to one of another component."""
-        nodes = cut(with_parts(self.nodes.select("node", "n", "prefix"), labels, ("node", "part")))
+        """node, n, part, prefix, bits: the nodes that may be similar to one of another component."""
+        nodes = cut(with_parts(self.nodes.select("node", "n", "prefix", "bits"), labels, ("node", "part")))
         rows = nodes.select("node", "n", "part", F.explode("prefix").alias("token"))
         shared = cut(rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token"))
         partner = F.ceil(F.col("n") * LEAST / 100)
@@ -189,13 +208,13 @@ class _Join:
         live = every.join(common, "token").select("node", "token", "df")
         # Tokens that one component has alone come first; they are counted, not ranked.
         own = Window.partitionBy("node")
-        ranked = live.withColumns({"rank": F.row_number().over(own.orderBy("df", "token")), "live": F.count("*").over(own)}).join(alive.select("node", "n", "part"), "node")
+        ranked = live.withColumns({"rank": F.row_number().over(own.orderBy("df", "token")), "live": F.count("*").over(own)}).join(alive.select("node", "n", "part", "bits"), "node")
         place = F.col("n") - F.col("live") + F.col("rank") - 1
         prefix = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1
-        heads = cut(ranked.withColumn("place", place).where(F.col("place") < prefix).select("token", "node", "n", "part", "place"))
-        other = heads.withColumnsRenamed({"node": "b", "n": "nb", "part": "of_b", "place": "at_b"})
+        heads = cut(ranked.withColumn("place", place).where(F.col("place") < prefix).select("token", "node", "n", "part", "place", "bits"))
+        other = heads.withColumnsRenamed({"node": "b", "n": "nb", "part": "of_b", "place": "at_b", "bits": "bits_b"})
         close = (F.col("place") + F.col("at_b")) * (200 - (100 - LEAST)) <= (F.col("n") + F.col("nb")) * (100 - LEAST)
-        met = heads.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("of_b")) & _sizes_agree("n", "nb") & close)
+        met = heads.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("of_b")) & _sizes_agree("n", "nb") & close & _not_far("bits", "bits_b", "n", "nb"))
         pairs = cut(met.select(F.col("node").alias("a"), "b").distinct())
         discard(texts, every, common)
         for side in "ab":

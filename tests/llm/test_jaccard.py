@@ -124,3 +124,13 @@ def test_keys_are_few_and_prefixes_suffice():
             if jaccard._linked(x, y):
                 both = np.intersect1d(x[: jaccard.window(len(x))], y[: jaccard.window(len(y))])
                 assert len(both) >= min(jaccard.needed(len(x)), jaccard.needed(len(y)))
+
+
+def test_parities_never_say_more_than_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (9, 50, 600, 5000):
+        common = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        for extra in (0, 1, n // 10, n):
+            other = np.unique(np.r_[common[extra // 2 :], rng.integers(0, 1 << 62, extra, dtype=np.uint64)])
+            x, y = (np.array(jaccard.parities(s)).view(np.uint64) for s in (common, other))
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(common, other))
