@@ -1,21 +1,20 @@
-"""N-gram Jaccard join: documents whose sets of three-word shingles agree to 0.9, by filters under several token orders.
+"""N-gram Jaccard join: documents whose sets of three-word shingles agree to 0.9, by equal parts of their sets.
 
-Documents of equal sets are one node. Two nodes x and y can be linked only if they share tokens in their prefixes under
-every global order of tokens: the prefix has n - ceil(0.9 n) + l of the n tokens of a set, and similar sets share l.
+Documents of equal sets are one node. Two nodes x and y can be linked only if no more than a nineteenth of their sizes'
+sum is in one of them alone. So if the space of tokens is cut into one part more than that number, at least one part of
+x and y is the same.
 
 1. Four orders by hash. Nodes whose first tokens agree under two of the orders meet in a bucket, and each is compared
    with the least of it. That links most of what is similar and costs a few comparisons a node.
-2. The rest, exactly. Under the first hash order, with l of a twentieth of the set, tokens that only one component has
-   are dead, and so are nodes with fewer than l tokens that are not: nothing outside their component can be similar.
-   Of the nodes that are left, all tokens are ordered by how many of these nodes have them. Nodes of different
-   components are a candidate if they share a token of that prefix at places i and j with 19 (i + j) <= n1 + n2 (what
-   comes before the first common token is in one set only), sizes 9 to 10, and parities of 512 bins of tokens that
-   differ in no more bins than sets so similar may differ in tokens: near copies that miss the threshold by a few tokens
-   make no pair. Candidates must share l tokens of their prefixes by hash as well; the sets of those that pass all
-   filters are compared.
-
-No pair inside a component is compared once it is known, and a token that many nodes have comes last in the order of
-frequencies: a common passage brings nodes together only if nearly all of both is as common.
+2. The rest, exactly. Sizes are in levels, each a quarter wider than the one before it, so that partners are of one
+   level or of two that follow each other; a node has the parts of its level, and of the next one if a partner may be
+   there. A part holds about eight tokens, so a common passage or line fills hardly any part, whatever its length, and
+   texts meet only if most of them is common. Parts that only one component has are dropped. Nodes of different
+   components that share a part are a candidate if sizes agree and parities of 512 bins of tokens differ in no more bins
+   than sets so similar may differ in tokens: near copies that miss the threshold by a few tokens make no pair. A pair
+   that shares many parts is taken at the least of them. The sets of candidates are compared.
+
+No pair inside a component is compared once it is known.
 
 Defined results. Words are runs without ASCII white space, A-Z in lower case; fewer than three words are one shingle.
 Null or empty text: no set, linked with nothing, its component is its own id. Rows are documents: each gives a row, rows
@@ -26,12 +25,13 @@ only from the others. An empty table gives no row. Other columns are not read. S
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.llm.arrow import map_rows
 from skein.llm.linking import merged, text_hash, texts_of, with_parts
@@ -47,6 +47,8 @@ LEAST, SMALL = 90, 9
 ORDERS = 4
 #: Shared tokens asked for in the prefix by hash: one in so many of the set.
 SHARED = 20
+#: Parts that a pair is looked up in to find whether it has been taken before.
+FIRST_PARTS = 16
 #: Bins whose parities tell how far two sets are apart at least, as 64-bit numbers.
 BIT_WORDS = 8
 #: Texts, and sets, that a task remembers.
@@ -73,6 +75,40 @@ def window(n: int) -> int:
     return min(n, n - -(-LEAST * n // 100) + needed(n))
 
 
+def _bounds() -> list[int]:
+    """Least sizes of the levels. Of a set of one level, partners are in it or in those beside it."""
+    bounds = [SMALL]
+    while bounds[-1] < 1 << 31:
+        bounds.append(bounds[-1] * 5 // 4)
+    return bounds
+
+
+BOUNDS = _bounds()
+
+
+@lru_cache(maxsize=64)
+def _edges(level: int) -> np.ndarray:
+    """Where the parts of a level start, but for the first. There is one more than linked sets of sizes up to the
+    level's greatest may differ in tokens."""
+    count = 2 * (BOUNDS[level + 1] - 1) * (100 - LEAST) // (100 + LEAST) + 1
+    return np.arange(1, count, dtype=np.uint64) * np.uint64((1 << 64) // count)
+
+
+def parts(found: np.ndarray) -> list[int]:
+    """A number for each part of a set, given sorted: its level, its place and the tokens in it. The parts of the next
+    level too, if a set that large can be linked to this one."""
+    level, out = bisect_right(BOUNDS, len(found)) - 1, []
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(found), dtype=np.uint64)]
+    for at in (level, level + 1):
+        if at > level and len(found) * 100 // LEAST < BOUNDS[at]:
+            break
+        edges = _edges(at)
+        ends = np.r_[0, np.searchsorted(found, edges), len(found)]
+        places = np.arange(len(edges) + 1, dtype=np.uint64) + np.uint64(at << 32)
+        out.append(mix(mix(places + np.uint64(1)) + (sums[ends[1:]] - sums[ends[:-1]]) * _MULTIPLIERS[0]))
+    return np.concatenate(out).view(np.int64).tolist()
+
+
 def _keys(found: np.ndarray) -> list[int]:
     """One number for each two orders under which two sets have the same first tokens."""
     firsts = [found[np.argmin(mix(found * m))] for m in _MULTIPLIERS]
@@ -90,7 +126,7 @@ def parities(found: np.ndarray) -> list[int]:
 
 
 class _Profiles:
-    """doc_id, hash (of the text), node (hash of its set), n (its size), and once a node and task its keys, prefix and
+    """doc_id, hash (of the text), node (hash of its set), n (its size), and once a node and task its keys, parts and
     parities."""
 
     def __init__(self) -> None:
@@ -98,9 +134,9 @@ class _Profiles:
         self.sent: set[int] = set()
 
     def __call__(self, rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "hash": rows["hash"], "node": [], "n": [], "keys": [], "prefix": [], "bits": []}
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "hash": rows["hash"], "node": [], "n": [], "keys": [], "parts": [], "bits": []}
         for name, text in zip(rows["hash"], rows["text"], strict=True):
-            keys = prefix = bits = None
+            keys = own = bits = None
             if name not in self.known:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -110,9 +146,9 @@ class _Profiles:
                 self.known[name] = node, len(found)
                 if len(found) >= SMALL and node not in self.sent:
                     self.sent.add(node)
-                    keys, prefix, bits = _keys(found), found[: window(len(found))].view(np.int64).tolist(), parities(found)
+                    keys, own, bits = _keys(found), parts(found), parities(found)
             node, n = self.known[name]
-            for column, value in (("node", node), ("n", n), ("keys", keys), ("prefix", prefix), ("bits", bits)):
+            for column, value in (("node", node), ("n", n), ("keys", keys), ("parts", own), ("bits", bits)):
                 out[column].append(value)
         return out
 
@@ -132,6 +168,12 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return both > 0 and 100 * both >= LEAST * (len(x) + len(y) - both)
 
 
+def _may_be_linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """The prefixes by hash share enough tokens: most sets that are not linked are told apart by these."""
+    both = np.intersect1d(x[: window(len(x))], y[: window(len(y))], assume_unique=True)
+    return len(both) >= min(needed(len(x)), needed(len(y)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets agree. Both sides come by joins that adaptive execution can split."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("of_a"))
@@ -141,7 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         sets = WordCache(tokens, SETS)
 
         def run(rows):
-            kept = [_linked(sets[x], sets[y]) for x, y in zip(rows["of_a"], rows["of_b"], strict=True)]
+            kept = [_may_be_linked(sets[x], sets[y]) and _linked(sets[x], sets[y]) for x, y in zip(rows["of_a"], rows["of_b"], strict=True)]
             return {c: [v for v, k in zip(rows[c], kept, strict=True) if k] for c in ("a", "b")}
 
         return run
@@ -153,7 +195,7 @@ class _Join:
     def __init__(self, docs: DataFrame) -> None:
         texts = docs.select("doc_id", text_hash().alias("hash"), F.col("text").cast("binary").alias("text"))
         self.texts = texts.select("hash", "text")
-        self.rows = cut(map_rows(texts, _Profiles, "doc_id long, hash long, node long, n int, keys array<long>, prefix array<long>, bits array<long>"))
+        self.rows = cut(map_rows(texts, _Profiles, "doc_id long, hash long, node long, n int, keys array<long>, parts array<long>, bits array<long>"))
         self.nodes = self.rows.where("keys IS NOT NULL")
 
     def wanted(self, nodes: DataFrame) -> DataFrame:
@@ -176,60 +218,31 @@ class _Join:
         pairs = keyed.join(leads, "key").where((F.col("node") != F.col("a")) & _sizes_agree("n", "na")).select("a", F.col("node").alias("b")).distinct()
         return self.compared(cut(pairs), None)
 
-    def alive(self, labels: DataFrame | None) -> DataFrame:
-        """node, n, part, prefix, bits: the nodes that may be similar to one of another component."""
-        nodes = cut(with_parts(self.nodes.select("node", "n", "prefix", "bits"), labels, ("node", "part")))
-        rows = nodes.select("node", "n", "part", F.explode("prefix").alias("token"))
-        shared = cut(rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token"))
-        partner = F.ceil(F.col("n") * LEAST / 100)
-        least = F.greatest(F.lit(1), F.floor(partner / SHARED))
-        found = cut(rows.join(shared, "token").groupBy("node", "n").agg(F.count("*").alias("live")).where(F.col("live") >= least).select("node"))
-        out = cut(nodes.join(found, "node", "left_semi").dropDuplicates(["node"]))
-        discard(nodes, shared, found)
-        return out
-
-    def rest(self, alive: DataFrame) -> DataFrame:
-        """Candidates (a, b) of different components that both the order of frequencies and the one by hash let pass."""
-        texts = self.wanted(alive.select("node"))
-
-        def make():
-            def run(rows):
-                out: dict[str, list] = {"node": [], "token": []}
-                for node, text in zip(rows["node"], rows["text"], strict=True):
-                    found = tokens(text).view(np.int64).tolist()
-                    out["node"] += [node] * len(found)
-                    out["token"] += found
-                return out
-
-            return run
-
-        every = cut(map_rows(texts, make, "node long, token long").join(alive.select("node", "part"), "node"))
-        common = cut(every.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token", "df"))
-        live = every.join(common, "token").select("node", "token", "df")
-        # Tokens that one component has alone come first; they are counted, not ranked.
-        own = Window.partitionBy("node")
-        ranked = live.withColumns({"rank": F.row_number().over(own.orderBy("df", "token")), "live": F.count("*").over(own)}).join(alive.select("node", "n", "part", "bits"), "node")
-        place = F.col("n") - F.col("live") + F.col("rank") - 1
-        prefix = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1
-        heads = cut(ranked.withColumn("place", place).where(F.col("place") < prefix).select("token", "node", "n", "part", "place", "bits"))
-        other = heads.withColumnsRenamed({"node": "b", "n": "nb", "part": "of_b", "place": "at_b", "bits": "bits_b"})
-        close = (F.col("place") + F.col("at_b")) * (200 - (100 - LEAST)) <= (F.col("n") + F.col("nb")) * (100 - LEAST)
-        met = heads.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("of_b")) & _sizes_agree("n", "nb") & close & _not_far("bits", "bits_b", "n", "nb"))
-        pairs = cut(met.select(F.col("node").alias("a"), "b").distinct())
-        discard(texts, every, common)
-        for side in "ab":
-            pairs = pairs.join(alive.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"prefix_{side}")), side)
-        least = F.greatest(F.lit(1), F.floor(F.least("na", "nb") / SHARED))
-        return cut(pairs.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least).select("a", "b"))
+    def met(self, labels: DataFrame | None) -> DataFrame:
+        """Candidates (a, b) of different components; a pair that shares many parts may come again."""
+        nodes = with_parts(self.nodes.select("node", "n", "parts"), labels, ("node", "part"))
+        rows = nodes.select("node", "n", "part", F.explode("parts").alias("key"))
+        shared = cut(rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"))
+        live = cut(rows.join(shared, "key").groupBy("node", "n", "part").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+        bits = self.nodes.select("node", "bits").join(live.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        # A pair is taken at the least part of both: the least of each node's are enough to tell most others.
+        heads = cut(live.join(bits, "node").select("node", "n", "part", "bits", F.slice("keys", 1, FIRST_PARTS).alias("firsts"), F.explode("keys").alias("key")))
+        other = heads.withColumnsRenamed({"node": "b", "n": "nb", "part": "of_b", "bits": "bits_b", "firsts": "firsts_b"})
+        new = F.coalesce(F.array_min(F.array_intersect("firsts", "firsts_b")) >= F.col("key"), F.lit(True))
+        met = heads.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("of_b")) & _sizes_agree("n", "nb") & _not_far("bits", "bits_b", "n", "nb"))
+        discard(shared, live)
+        return met.where(new).select(F.col("node").alias("a"), "b")
+
+    def rest(self, labels: DataFrame | None) -> DataFrame | None:
+        """Labels after comparing all candidates."""
+        return self.compared(cut(self.met(labels).distinct()), labels)
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a row."""
     join = _Join(docs)
     labels = join.first()
-    alive = join.alive(labels)
-    if not alive.isEmpty():
-        labels = join.compared(join.rest(alive), labels)
+    labels = join.rest(labels)
     rows = with_parts(join.rows.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")), labels, ("node", "part"))
     linking = F.col("n_shingles") > 0
     firsts = cut(rows.where(linking).groupBy("part").agg(F.min("doc_id").alias("least")))

@@ -134,3 +134,33 @@ def test_parities_never_say_more_than_the_difference():
             other = np.unique(np.r_[common[extra // 2 :], rng.integers(0, 1 << 62, extra, dtype=np.uint64)])
             x, y = (np.array(jaccard.parities(s)).view(np.uint64) for s in (common, other))
             assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(common, other))
+
+
+def test_linked_sets_share_a_part():
+    """Sets that differ as much as linked ones can, of sizes on both sides of the levels' bounds."""
+    rng = np.random.default_rng(9)
+    for n in [*range(9, 120), *(b + k for b in jaccard.BOUNDS[:30] for k in (-1, 0, 1) if 9 <= b + k < 4000)]:
+        for extra in sorted({0, n // 20, n // 19, n // 10, n // 9}):
+            for gone in sorted({0, n // 20, n // 19}):
+                common = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+                x, y = np.unique(common), np.unique(np.r_[common[gone:], rng.integers(0, 1 << 64, extra, dtype=np.uint64)])
+                if len(x) >= jaccard.SMALL <= len(y) and jaccard._linked(x, y):
+                    assert set(jaccard.parts(x)) & set(jaccard.parts(y))
+
+
+def test_a_common_passage_brings_few_texts_together():
+    """Texts half of which is one passage: hardly a part is the same, though each two share 0.33 of their tokens."""
+    rng = np.random.default_rng(10)
+    passage = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+    sets = [set(jaccard.parts(np.unique(np.r_[passage, rng.integers(0, 1 << 64, 100, dtype=np.uint64)]))) for _ in range(100)]
+    assert sum(bool(x & y) for i, x in enumerate(sets) for y in sets[:i]) < 0.05 * 4950
+
+
+def test_a_pair_that_shares_many_parts_is_met_once(spark):
+    """Of near copies just below the threshold and above it, the join of parts makes no more rows than there are pairs."""
+    rng = random.Random(11)
+    base = prose(rng, 160, 10**9)
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(30)]
+    join = jaccard._Join(spark.createDataFrame([(d, t, 0, 0, "x", 0, 0) for d, t in enumerate(texts)], DOCS).repartition(5))
+    met = join.met(None)
+    assert met.count() == met.distinct().count() > 0
