@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrow import map_rows
-from skein.llm.linking import merged, text_hash, texts_of, with_parts
+from skein.llm.linking import maybe_among, merged, text_hash, texts_of, with_parts
 from skein.llm.shingles import CACHE_WORDS, family, mix, shingles
 from skein.llm.wordcache import WordCache
 from skein.sources.scratch import cut, discard
@@ -47,6 +47,8 @@ LEAST, SMALL = 90, 9
 ORDERS = 4
 #: Shared tokens asked for in the prefix by hash: one in so many of the set.
 SHARED = 20
+#: Rows of 64 bits, at most, of the table that keeps parts of one component out of a shuffle: 8 MiB of bits.
+KEY_BIT_ROWS = 1 << 20
 #: Parts that a pair is looked up in to find whether it has been taken before.
 FIRST_PARTS = 16
 #: Bins whose parities tell how far two sets are apart at least, as 64-bit numbers.
@@ -223,7 +225,7 @@ class _Join:
         nodes = with_parts(self.nodes.select("node", "n", "parts"), labels, ("node", "part"))
         rows = nodes.select("node", "n", "part", F.explode("parts").alias("key"))
         shared = cut(rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"))
-        live = cut(rows.join(shared, "key").groupBy("node", "n", "part").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+        live = cut(maybe_among(rows, shared, "key", KEY_BIT_ROWS).join(shared, "key").groupBy("node", "n", "part").agg(F.sort_array(F.collect_set("key")).alias("keys")))
         bits = self.nodes.select("node", "bits").join(live.select("node"), "node", "left_semi").dropDuplicates(["node"])
         # A pair is taken at the least part of both: the least of each node's are enough to tell most others.
         heads = cut(live.join(bits, "node").select("node", "n", "part", "bits", F.slice("keys", 1, FIRST_PARTS).alias("firsts"), F.explode("keys").alias("key")))

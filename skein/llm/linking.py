@@ -42,10 +42,17 @@ def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
     return out
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, name: str, bit_rows: int = BIT_ROWS) -> DataFrame:
+    """Those of the rows whose 64-bit ``name`` sets a bit of a table of bounded size that holds all of the ``wanted``:
+    all that are wanted, and few others. The table is broadcast, so the rest stays out of a shuffle."""
+    row = F.pmod(F.shiftright(name, 6), F.lit(bit_rows))
+    bits = wanted.groupBy(row.alias("row")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({name} & 63 AS INT))")).alias("set_bits"))
+    near = rows.withColumn("row", row).join(F.broadcast(bits), "row")
+    return near.where(F.expr(f"(shiftright(set_bits, CAST({name} & 63 AS INT)) & 1L) = 1L")).drop("row", "set_bits")
+
+
 def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the ``wanted`` (node, hash), once each, from ``texts`` (hash, text). Before texts are shuffled,
-    those whose hash sets no bit of a table of bounded size are left out, and copies in one task are one row."""
-    bits = wanted.groupBy(F.pmod(F.shiftright("hash", 6), F.lit(BIT_ROWS)).alias("row")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits"))
-    near = texts.withColumn("row", F.pmod(F.shiftright("hash", 6), F.lit(BIT_ROWS))).join(F.broadcast(bits), "row")
-    near = near.where(F.expr("(shiftright(bits, CAST(hash & 63 AS INT)) & 1L) = 1L")).select("hash", "text")
+    those that are surely not wanted are left out, and copies in one task are one row."""
+    near = maybe_among(texts, wanted, "hash").select("hash", "text")
     return near.dropDuplicates(["hash"]).join(wanted, "hash").select("node", "text")
