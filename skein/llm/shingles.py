@@ -48,7 +48,7 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     ordered = hashes[order]
     same = ordered[1:] == ordered[:-1]
     if not same.any():
-        return hashes
+        return mix(hashes)
     at = np.arange(len(hashes))
     starts = np.maximum.accumulate(np.where(np.r_[True, ~same], at, 0))
     out = np.empty_like(hashes)

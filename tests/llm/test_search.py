@@ -144,6 +144,23 @@ def test_no_pair_that_is_similar_is_left_out_by_its_bins(spark):
     assert want <= got and len(want) > 100 and len(got) < len(every) / 4
 
 
+def test_long_texts_below_the_threshold_are_told_apart_by_their_words(spark):
+    """Texts of 800 words fill all bins; each two of these have 0.72 of their words in common."""
+    rng = random.Random(38)
+    base = prose(rng, 800)
+    texts = [" ".join(f"own{t}x{i}" if rng.random() < 0.15 else w for i, w in enumerate(base)) for t in range(12)]
+    rows = orderminhash._sequences(frame(spark, texts).select(orderminhash.F.col("doc_id").alias("node"), "text"))
+    rows = rows.withColumn("n", orderminhash.F.length("words") / 4)
+    both = rows.join(rows.select(*[orderminhash.F.col(c).alias({"node": "lead"}.get(c, f"lead_{c}")) for c in ("node", "n", *orderminhash.BITS)]), orderminhash.F.expr("node <> lead"))
+    assert max(sum(a == b for a, b in zip(x.split(), y.split(), strict=True)) for i, x in enumerate(texts) for y in texts[:i]) < 0.79 * 800
+    assert both.where(orderminhash._can_be_similar()).count() == 0
+
+
+def test_shingles_have_one_label_whether_the_text_repeats_others_or_not():
+    once, twice = np.arange(10, 20, dtype=np.uint64), np.r_[np.arange(10, 20), 15].astype(np.uint64)
+    assert set(labelled(once).tolist()) < set(labelled(twice).tolist())
+
+
 def test_documents_are_rows_of_id_and_text(spark):
     """Rows that share an id, or have none, are not one document; repeats of a row are, and the pipeline keeps one."""
     rng = random.Random(29)
