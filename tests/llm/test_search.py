@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import compactwindows, orderminhash, pii
 from skein.llm.shingles import labelled, shingles
+from skein.sources import scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -516,3 +518,21 @@ def test_a_common_line_brings_few_windows_together(spark):
         found = {(r.x, r.y) for r in compactwindows.passages(by_id(frame(spark, texts))).collect()}
         assert found == {(n - 3, n // 2)}
     assert counts[1] < 2.5 * counts[0]
+
+
+def test_pairs_are_deleted_before_those_of_open_groups_are_verified(spark, monkeypatch):
+    """While the last pairs are verified, these and the sequences, and what the first have given, are all that is kept."""
+    tables, verify, folder = [], compactwindows._verify, scratch.scratch_folder(spark).removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+
+    def watched(pairs, *more):
+        tables.append(set(os.listdir(folder)))
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(compactwindows, "_verify", watched)
+    rng = random.Random(39)
+    line = prose(rng, 60)
+    texts = frame(spark, [" ".join([*prose(rng, 40), *line, *prose(rng, 40)]) for _ in range(20)])
+    before = set(os.listdir(folder))
+    compactwindows.passages(texts.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("ord"), "text")).count()
+    assert len(tables[0] - before) == 2 and len(tables[1] - before) == 3
