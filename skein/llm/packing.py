@@ -125,6 +125,8 @@ def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
     """Parts none of which exceeds the capacity. Their number starts at the least possible one (of sizes over a j+1-th
     of the capacity at most j go together) and rises while a part exceeds it, by as much as its excess over the mean
     asks for and by twice as much each turn at least; the numbers passed over are searched by halves to a hundredth."""
+    if not sizes:
+        return []
     total = sum(sizes)
     least = [-(-sum((j + 1) * size > capacity for size in sizes) // j) for j in range(1, 9)]
     k, step, failed, found = max(1, -(-total // capacity), *least), 1, 0, []
