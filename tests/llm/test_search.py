@@ -536,3 +536,18 @@ def test_pairs_are_deleted_before_those_of_open_groups_are_verified(spark, monke
     before = set(os.listdir(folder))
     compactwindows.passages(texts.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("ord"), "text")).count()
     assert len(tables[0] - before) == 2 and len(tables[1] - before) == 3
+
+
+def test_leads_gone_through_and_looked_up_are_the_same(monkeypatch):
+    """Windows with one line or half of what is around it in common, by either way."""
+    rng, found = np.random.default_rng(21), []
+    line, blocks = rng.integers(1, 1 << 32, 60, dtype=np.uint32), rng.integers(1, 1 << 32, (5, 91), dtype=np.uint32)
+    near = rng.integers(1, 1 << 32, (120, 91), dtype=np.uint32)
+    near[:60, 15:75] = line
+    for k in range(60, 120):
+        near[k, k % 40 :] = blocks[k % 5, k % 40 :]
+    rows = {"grp": [1] * 120, "ord": list(range(120)), "node": list(range(120)), "c": [45] * 120, "l": [0] * 120, "r": [90] * 120, "near": [x.tobytes() for x in near]}
+    for direct in (0, 10**9):
+        monkeypatch.setattr(compactwindows, "DIRECT", direct)
+        found.append(compactwindows._Rest(50, 0.8)(rows))
+    assert found[0] == found[1] and len(found[0]["x"]) > 60

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from skein.functions import coverage, text, vectors
 from skein.operators.components import components
 from skein.operators.similarity import similar_pairs
 from skein.plans.selecting import hard_negatives
+from skein.sources import scratch
 
 
 def test_components_of_a_small_graph(spark):
@@ -68,3 +70,22 @@ def test_hard_negatives_against_brute_force(spark):
     got = hard_negatives(spark.createDataFrame(rows, "doc_id long, source string, lang string, category string, off long")).collect()
     want = set().union(*(brute_negatives([r for r in rows if r[2] == lang]) for lang in {r[2] for r in rows}))
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_shuffles_end_with_the_table_they_are_for(spark):
+    """Shuffle files of a table that is cut go when it is written, though the frame it was cut from is still held."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {file for k in range(found.length()) if (file := found.apply(k).getName()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name, None)
+    frame = spark.range(1000).repartition(5, "id")
+    out = scratch.cut(frame)
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    assert spark.conf.get(name, None) == setting
