@@ -12,7 +12,9 @@ x and y is the same.
    texts meet only if most of them is common. Parts that only one component has are dropped. Nodes of different
    components that share a part are a candidate if sizes agree and parities of 512 bins of tokens differ in no more bins
    than sets so similar may differ in tokens: near copies that miss the threshold by a few tokens make no pair. A pair
-   that shares many parts is taken at the least of them. The sets of candidates are compared.
+   that shares many parts is taken at the least of them. Before all candidates are compared, each node is compared with
+   one of each of its parts, another each time, until that links next to nothing more: so a group of near copies that
+   the first step has left apart is one component before its pairs are made, and few links are found twice.
 
 No pair inside a component is compared once it is known.
 
@@ -51,6 +53,9 @@ SHARED = 20
 KEY_BIT_ROWS = 1 << 20
 #: Parts that a pair is looked up in to find whether it has been taken before.
 FIRST_PARTS = 16
+#: Times that nodes are compared with one of each of their parts, at most, and the links, of so many nodes, that are
+#: worth another time.
+LEAD_ROUNDS, WORTH = 4, 1000
 #: Bins whose parities tell how far two sets are apart at least, as 64-bit numbers.
 BIT_WORDS = 8
 #: Texts, and sets, that a task remembers.
@@ -165,6 +170,11 @@ def _not_far(bits: str, other: str, a: str, b: str) -> Column:
     return apart * (100 + LEAST) <= (F.col(a) + F.col(b)) * (100 - LEAST)
 
 
+def _joined(labels: DataFrame | None) -> int:
+    """Nodes that have another's component."""
+    return 0 if labels is None else labels.where("node <> component").count()
+
+
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both > 0 and 100 * both >= LEAST * (len(x) + len(y) - both)
@@ -220,8 +230,8 @@ class _Join:
         pairs = keyed.join(leads, "key").where((F.col("node") != F.col("a")) & _sizes_agree("n", "na")).select("a", F.col("node").alias("b")).distinct()
         return self.compared(cut(pairs), None)
 
-    def met(self, labels: DataFrame | None) -> DataFrame:
-        """Candidates (a, b) of different components; a pair that shares many parts may come again."""
+    def heads(self, labels: DataFrame | None) -> DataFrame:
+        """node, n, part, bits, firsts, key: the nodes by those of their parts that several components have."""
         nodes = with_parts(self.nodes.select("node", "n", "parts"), labels, ("node", "part"))
         rows = nodes.select("node", "n", "part", F.explode("parts").alias("key"))
         shared = cut(rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"))
@@ -229,15 +239,41 @@ class _Join:
         bits = self.nodes.select("node", "bits").join(live.select("node"), "node", "left_semi").dropDuplicates(["node"])
         # A pair is taken at the least part of both: the least of each node's are enough to tell most others.
         heads = cut(live.join(bits, "node").select("node", "n", "part", "bits", F.slice("keys", 1, FIRST_PARTS).alias("firsts"), F.explode("keys").alias("key")))
+        discard(shared, live)
+        return heads
+
+    def led(self, heads: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+        """Candidates (a, b) of different components, a the one of a part of b that comes first in this turn's order."""
+        heads = cut(with_parts(heads, labels, ("node", "part")))
+        order = F.xxhash64("node", F.lit(turn))
+        leads = heads.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "part", "bits")).alias("lead"))
+        leads = cut(leads.select("key", *[F.col(f"lead.{c}").alias(name) for c, name in (("node", "a"), ("n", "na"), ("part", "of_a"), ("bits", "bits_a"))]))
+        pairs = heads.join(leads, "key").where((F.col("part") != F.col("of_a")) & _sizes_agree("n", "na") & _not_far("bits", "bits_a", "n", "na"))
+        out = cut(pairs.select("a", F.col("node").alias("b")).distinct())
+        discard(heads, leads)
+        return out
+
+    def met(self, labels: DataFrame | None, heads: DataFrame | None = None) -> DataFrame:
+        """Candidates (a, b) of different components; a pair that shares many parts may come again. Heads of earlier
+        labels only have more parts than these need."""
+        heads = cut(with_parts(heads, labels, ("node", "part"))) if heads else self.heads(labels)
         other = heads.withColumnsRenamed({"node": "b", "n": "nb", "part": "of_b", "bits": "bits_b", "firsts": "firsts_b"})
         new = F.coalesce(F.array_min(F.array_intersect("firsts", "firsts_b")) >= F.col("key"), F.lit(True))
         met = heads.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("of_b")) & _sizes_agree("n", "nb") & _not_far("bits", "bits_b", "n", "nb"))
-        discard(shared, live)
         return met.where(new).select(F.col("node").alias("a"), "b")
 
     def rest(self, labels: DataFrame | None) -> DataFrame | None:
         """Labels after comparing all candidates."""
-        return self.compared(cut(self.met(labels).distinct()), labels)
+        heads = self.heads(labels)
+        for turn in range(LEAD_ROUNDS):
+            before = _joined(labels)
+            labels = self.compared(self.led(heads.drop("part"), labels, turn), labels)
+            after = _joined(labels)
+            if after - before < max(1, after // WORTH):
+                break
+        pairs = cut(self.met(labels, heads.drop("part")).distinct())
+        discard(heads)
+        return self.compared(pairs, labels)
 
 
 def linked(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import duckdb
 import numpy as np
 
-from skein.llm import jaccard
+from skein.llm import jaccard, linking
 
 DOCS = "doc_id long, text string, n int, node long, keys string, part long, token long"
 
@@ -164,3 +164,17 @@ def test_a_pair_that_shares_many_parts_is_met_once(spark):
     join = jaccard._Join(spark.createDataFrame([(d, t, 0, 0, "x", 0, 0) for d, t in enumerate(texts)], DOCS).repartition(5))
     met = join.met(None)
     assert met.count() == met.distinct().count() > 0
+
+
+def test_links_of_near_copies_left_apart_grow_with_the_group(spark, monkeypatch):
+    """Near copies that are all linked, none of them by the first step: links are found by comparing with leads."""
+    links, components = [], linking.components
+    monkeypatch.setattr(linking, "components", lambda found: (links.append(found.distinct().count()), components(found))[1])
+    rng = random.Random(12)
+    for n in (40, 80):
+        base = prose(rng, 160, 10**9)
+        rows = [(d, " ".join(edited(rng, base, 1)), 0, 0, "x", 0, 0) for d in range(n)]
+        links.clear()
+        labels = jaccard._Join(spark.createDataFrame(rows, DOCS).repartition(5)).rest(None)
+        assert labels.select("component").distinct().count() == 1 and labels.count() == n
+        assert sum(links) < 10 * n
