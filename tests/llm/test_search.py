@@ -551,3 +551,43 @@ def test_leads_gone_through_and_looked_up_are_the_same(monkeypatch):
         monkeypatch.setattr(compactwindows, "DIRECT", direct)
         found.append(compactwindows._Rest(50, 0.8)(rows))
     assert found[0] == found[1] and len(found[0]["x"]) > 60
+
+
+def test_repeated_lines_are_searched_in_the_largest_boxes_only(monkeypatch):
+    """Two texts of one line over and over, a word of one changed: their boxes lie in one another."""
+    rng, calls, equal_runs = np.random.default_rng(41), [], compactwindows._equal_runs
+    line = rng.integers(1, 1 << 32, 13, dtype=np.uint32)
+    x, y = np.tile(line, 60), np.tile(line, 60)
+    x[300:305] = rng.integers(1, 1 << 32, 5, dtype=np.uint32)
+    boxes = [(13 * k, 65 * j, 65 * j + 50) for k in range(-4, 5) for j in range(1, 11)] + [(0, 0, 779)]
+    monkeypatch.setattr(compactwindows, "_equal_runs", lambda *a: calls.append(a) or equal_runs(*a))
+    found = compactwindows.chains(x, y, boxes, 50, 0.8)
+    assert len(calls) == 1 and {k for a, b, _, _ in found for k in range(a, b)} >= set(range(780)) - set(range(290, 315))
+    monkeypatch.setattr(compactwindows, "_outer", lambda boxes, *a: boxes)
+    assert compactwindows.chains(x, y, boxes, 50, 0.8) == found and len(calls) > 9
+
+
+def test_chains_in_lists_and_in_arrays_are_the_same(monkeypatch):
+    rng, spans = random.Random(42), 0
+    for _ in range(60):
+        runs = sorted([a, a + rng.randrange(6, 40), rng.randrange(-9, 10)] for a in (rng.randrange(400) for _ in range(rng.randrange(2, 150))))
+        found = []
+        for few in (0, 10**9):
+            monkeypatch.setattr(compactwindows, "FEW_RUNS", few)
+            found.append(compactwindows._chained(runs, 46, 0.8))
+        assert found[0] == found[1]
+        spans += len(found[0])
+    assert spans > 100
+
+
+def test_windows_that_are_confirmed_are_not_compared_again(spark, monkeypatch):
+    """A passage in 30 texts, and its first line in two others: hardly a pair of the 30 comes again."""
+    rng, again, rest = random.Random(43), [], compactwindows._rest
+    passage = prose(rng, 70)
+    texts = [" ".join(prose(rng, 40) + passage + prose(rng, 40)) for _ in range(30)]
+    texts += [" ".join(prose(rng, 60) + passage[:30] + prose(rng, 60)) for _ in range(2)]
+    monkeypatch.setattr(compactwindows, "_rest", lambda *a: again.append(rest(*a)) or again[-1])
+    monkeypatch.setattr(compactwindows, "discard", lambda *frames: None)
+    found = {r.x for r in compactwindows.passages(by_id(frame(spark, texts))).collect()}
+    assert found == set(range(1, 30))
+    assert again[0].where("x < 30 AND y < 30").count() < 29
