@@ -95,3 +95,21 @@ def test_tables_of_articles_and_rows_that_cannot_be_parsed(spark):
     assert found[:2] == [(1, "table-wrap", "body/sec[1]/table-wrap[1]/caption", "cap"), (1, "table", "body/sec[1]/table-wrap[1]/table[1]", "a b c 1")]
     assert [(i, k) for i, k, _, _ in found[2:]] == [(2, "error"), (3, "error")] and all(t for *_, t in found)
     assert ("empty_body", "body") in parsers.jats("<article><front/><body><p> </p></body></article>")[1]
+
+
+def test_every_text_has_a_count_of_lines(spark, tmp_path):
+    """Empty, blank and null texts, ids that come twice or not at all, and lines of white space that SQL does not trim."""
+    import duckdb
+
+    from skein import catalog
+
+    texts = ["a\nb", "", None, " \n ", "\t\n\r\n x", "\u00a0\u3000\n\u2028", "c"]
+    rows = [(i, "en", "s", t) for i, t in enumerate(texts)] + [(0, "en", "s", "d"), (None, "en", "s", "e\n\nf")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in catalog.queries()["sc9_parser_registry"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["sc9_parser_registry"]).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(rows)
