@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 # Penalty of a repeated source, most of a source, budget, dedup thresholds.
 REPEAT_PENALTY, MOST_OF_SOURCE, TOKEN_BUDGET = 0.08, 2, 900
 LEAST_TOKENS, SAME_SOURCE, ANY_SOURCE = 12, 0.82, 0.96
+#: The best that a selection is made from.
+POOL = 30
 
 
 def repeats(a: Mapping, b: Mapping) -> bool:
@@ -46,11 +48,16 @@ def diverse(items: Sequence[dict], k: int) -> list[dict]:
     return chosen
 
 
-def diverse_top(scored: DataFrame, by: Sequence[str], k: int = 3, pool: int = 30) -> DataFrame:
-    """by, id, rank. ``scored``: by, id, source, base, similarity, norm, tokens, cost. Each group's task gets ``pool``
-    rows at most; the pool is taken after all rows are scored."""
+def pooled(scored: DataFrame, by: Sequence[str], pool: int = POOL) -> DataFrame:
+    """The best ``pool`` rows of each group."""
     best = Window.partitionBy(*by).orderBy(F.desc("base"), F.desc("similarity"), "source", "id")
-    pooled = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= pool)
+    return scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= pool)
+
+
+def diverse_top(scored: DataFrame, by: Sequence[str], k: int = 3, pool: int = POOL) -> DataFrame:
+    """by, id, rank. ``scored``: by, id, source, base, similarity, norm, tokens, cost. Each group's task gets ``pool``
+    rows at most; the pool is taken after all rows are scored. A row over the budget alone can't be selected."""
+    fit = pooled(scored, by, pool).where(F.col("cost") <= TOKEN_BUDGET)
     kinds = dict(scored.dtypes)
 
     def select(frame: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +65,7 @@ def diverse_top(scored: DataFrame, by: Sequence[str], k: int = 3, pool: int = 30
         picked = diverse(items, k)
         return pd.DataFrame({**{c: [i[c] for i in picked] for c in (*by, "id")}, "rank": range(1, len(picked) + 1)})
 
-    return pooled.groupBy(*by).applyInPandas(select, ", ".join(f"{c} {kinds[c]}" for c in (*by, "id")) + ", rank long")
+    return fit.groupBy(*by).applyInPandas(select, ", ".join(f"{c} {kinds[c]}" for c in (*by, "id")) + ", rank long")
 
 
 def largest_remainder(total: int, ratios: Mapping[str, float]) -> dict[str, int]:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import metrics as M
 from skein.functions import vectors as VF
+from skein.operators.blocks import FIRST, LAST, OUT, best, nullable, paired
 from skein.plans.registry import Plans
 from skein.plans import vectors as V
 from skein.plans.vectors import CENTROID_SQL, NIN, SIM_SQL, VEC, WEIGHT_SQL, similarities, weights
+from skein.sources.scratch import cut
 from skein.sources.tables import table
 
 plans = Plans()
@@ -108,28 +111,95 @@ m AS (SELECT k.query_id, any_value(query_label) AS query_label, count_if(rel AND
 MEASURES = ("recall10", "p5", "rr", "ndcg5", "hard10", "margin")
 
 
-def ranked(spark, sf):
+#: Ranks that measures look at.
+DEEPEST = 20
+
+
+def _first_rows(tile):
+    """The best of each query in a tile. The first of them also has the query's counts and greatest similarities."""
+    other, same = tile.other(), tile.same()
+    known = ~(tile.q.no_label[:, None] | tile.v.no_label)
+    key = tile.key(tile.similarity, other)
+    i, j = best(key, DEEPEST, tile.v.order())
+    first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+    none = ~first
+
+    def greatest(where):
+        most = np.where(where & (key > LAST), key, OUT).max(axis=1)[i]
+        return nullable(np.where(most == FIRST, np.nan, most), none | (most == OUT))
+
+    count = lambda where: np.where(first, where.sum(axis=1)[i], 0)
+    near = tile.v.label == tile.q.label[:, None] + 1
+    return i, j, {"off": -key[i, j], "n2": count(same & other), "n1": count(near & known & other), "in_rel": greatest(same & other), "in_rest": greatest(~same & known & other)}
+
+
+def _ahead(tile):
+    """How many rows of a tile come before the bound of each query."""
+    key = tile.key(tile.similarity, tile.other())
+    bound, bound_id = (tile.q.columns[c].to_numpy(zero_copy_only=False)[:, None] for c in ("bound", "bound_id"))
+    n = ((key > bound) | ((key == bound) & (tile.v.id < bound_id))).sum(axis=1)
+    i = np.flatnonzero(n)
+    return i, np.zeros(len(i), np.int64), {"n": n[i]}
+
+
+def _first_relevant(tile):
+    """The first row of a query's own label."""
+    i, j = best(tile.key(tile.similarity, tile.other() & tile.same()), 1, tile.v.order())
+    return i, j, {"off": -tile.key(tile.similarity, tile.other())[i, j]}
+
+
+def found_rows(spark, sf):
+    """The first rows of each query by block, once written."""
+    return cut(similarities(spark, sf, _first_rows, "query_id long, query_label int, vec_id long, label int, off double, n2 long, n1 long, in_rel double, in_rest double"))
+
+
+def ranked(found):
+    """The first rows of each query: rank, and what they are to it."""
     same, near = F.col("label") == F.col("query_label"), F.col("label") == F.col("query_label") + 1
-    rows = similarities(spark, sf).where("vec_id <> query_id").select("*", same.alias("rel"), F.when(same, 2).when(near, 1).otherwise(0).alias("grade"), (F.col("label") % 5 == 4).alias("hard"))
-    return M.ranked_hits(rows, ["query_id"], "rel", "similarity", "vec_id").withColumnRenamed("k", "rank").drop("hits")
+    w = Window.partitionBy("query_id").orderBy("off", "vec_id")
+    rows = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= DEEPEST)
+    return rows.select("query_id", "vec_id", "rank", same.alias("rel"), F.when(same, 2).when(near, 1).otherwise(0).alias("grade"), (F.col("label") % 5 == 4).alias("hard"))
+
+
+def first_ranks(spark, sf, found):
+    """query_id and first, the rank of its first relevant row, or null. Queries that have one, but none among the first
+    rows, are counted through: how many rows come before it."""
+    facts = found.groupBy("query_id").agg(F.sum("n2").alias("n2"))
+    inside = ranked(found).where("rel").groupBy("query_id").agg(F.min("rank").cast("long").alias("first"))
+    known = cut(facts.join(inside, "query_id", "left"))
+    deep = known.where("first IS NULL AND n2 > 0").select(F.col("query_id").alias("id"))
+    if deep.isEmpty():
+        return known.select("query_id", "first")
+    asked = V.vectors(spark, sf).join(deep, "id", "left_semi")
+    w = Window.partitionBy("query_id").orderBy("off", "vec_id")
+    leads = paired(asked, V.vectors(spark, sf), _first_relevant, "query_id long, vec_id long, off double").withColumn("k", F.row_number().over(w)).where("k = 1")
+    bounds = cut(leads.select(F.col("query_id").alias("id"), (-F.col("off")).alias("bound"), F.col("vec_id").alias("bound_id")))
+    # A query of several rows is counted once: the rows before its bound are the same for all with equal vectors.
+    before = paired(asked.join(bounds, "id"), V.vectors(spark, sf), _ahead, "query_id long, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+    deeper = bounds.select(F.col("id").alias("query_id")).join(before, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + 1).alias("deeper"))
+    return known.join(deeper, "query_id", "left").select("query_id", F.coalesce("first", "deeper").alias("first"))
+
+
+def reciprocal():
+    return F.coalesce(1.0 / F.col("first"), F.lit(0.0))
 
 
 def query_measures(spark, sf):
     """One row a query. The ideal order needs only how many rows have each grade."""
-    rows = ranked(spark, sf)
+    found = found_rows(spark, sf)
     rel, rank = F.col("rel"), F.col("rank")
     ideal = sum((F.when(F.col("n2") >= k, M.gain(F.lit(2), F.lit(k))).when(F.col("n2") + F.col("n1") >= k, M.gain(F.lit(1), F.lit(k))).otherwise(0.0) for k in range(1, 6)), F.lit(0.0))
-    per = rows.groupBy("query_id", "query_label").agg(
-        (F.count_if(rel & (rank <= 10)) / F.count_if(rel).cast("double")).alias("recall10"),
+    facts = found.groupBy("query_id").agg(F.min("query_label").alias("query_label"), F.sum("n2").alias("n2"), F.sum("n1").alias("n1"), (F.max("in_rel") - F.max("in_rest")).alias("margin"))
+    per = ranked(found).groupBy("query_id").agg(
+        F.count_if(rel & (rank <= 10)).alias("rel10"),
         (F.count_if(rel & (rank <= 5)) / 5.0).alias("p5"),
-        F.coalesce(1.0 / F.min(F.when(rel, rank)), F.lit(0.0)).alias("rr"),
         F.sum(F.when(rank <= 5, M.gain(F.col("grade"), rank)).otherwise(0.0)).alias("dcg"),
-        F.count_if(F.col("grade") == 2).alias("n2"),
-        F.count_if(F.col("grade") == 1).alias("n1"),
         (F.count_if(F.col("hard") & (rank <= 10)) / 10.0).alias("hard10"),
-        (F.max(F.when(rel, F.col("similarity"))) - F.max(F.when(~rel, F.col("similarity")))).alias("margin"),
     )
-    return per.select("query_id", "query_label", "recall10", "p5", "rr", (F.col("dcg") / ideal).alias("ndcg5"), "hard10", "margin")
+    every = facts.join(per, "query_id").join(first_ranks(spark, sf, found), "query_id")
+    # Nothing over nothing is not a number, as in SQL.
+    over = lambda a, b: F.when(b > 0, a / F.when(b > 0, b).cast("double")).otherwise(F.lit(float("nan")))
+    return every.select("query_id", "query_label", over(F.col("rel10"), F.col("n2")).alias("recall10"), "p5", reciprocal().alias("rr"), over(F.col("dcg"), ideal).alias("ndcg5"), "hard10", "margin")
 
 
 @plans("a19_ir_metrics", f"WITH {IR_SQL} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in MEASURES)} FROM m")
@@ -146,12 +216,12 @@ def a20(spark, sf):
 
 @plans("w9_reciprocal_rank", f"WITH {IR_SQL} SELECT query_id, round(rr, 6) AS rr FROM m")
 def w9(spark, sf):
-    return ranked(spark, sf).groupBy("query_id").agg(F.round(F.coalesce(1.0 / F.min(F.when(F.col("rel"), F.col("rank"))), F.lit(0.0)), 6).alias("rr"))
+    return first_ranks(spark, sf, found_rows(spark, sf)).select("query_id", F.round(reciprocal(), 6).alias("rr"))
 
 
 @plans("m12_gain", f"WITH {IR_SQL} SELECT query_id, vec_id, round((pow(2.0, grade) - 1) / log2(rank + 1.0), 6) AS gain FROM k WHERE rank <= 20")
 def m12(spark, sf):
-    return ranked(spark, sf).where("rank <= 20").select("query_id", "vec_id", F.round(M.gain(F.col("grade"), F.col("rank")), 6).alias("gain"))
+    return ranked(found_rows(spark, sf)).where("rank <= 20").select("query_id", "vec_id", F.round(M.gain(F.col("grade"), F.col("rank")), 6).alias("gain"))
 
 
 @plans("a21_nearest_rank_p95", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value AS p95 FROM r WHERE k = CAST(ceil(0.95 * n) AS BIGINT)")

@@ -12,6 +12,7 @@ from skein.operators.similarity import classes, links
 from skein.plans import vectors as V
 from skein.plans.duplicates import links_sql
 from skein.plans.registry import Plans
+from skein.sources.scratch import cut
 from skein.sources.tables import table
 
 plans = Plans()
@@ -50,24 +51,31 @@ def t7(spark, sf):
     return spark.createDataFrame(sorted(given.items()), "lang string, allocated long")
 
 
-def pool_rows(spark, sf):
-    """Scored embeddings with the text of the document of the same number: a synthetic pairing."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
-    scored = V.scored(spark, sf).select("query_id", "label", "vec_id", "base", "similarity")
+def pool_rows(spark, sf, by_label):
+    """Scored embeddings with the text of the document of the same number: a synthetic pairing. Only the best of a query
+    (and label) that may be in its pool, known by scores, sources and ids, meet a text. What exceeds the budget alone
+    keeps its place in the pool, and goes from it at once; texts and tokens are only compared, so they are hashes."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    rows = V.vectors(spark, sf).join(docs.select("id", F.col("source").alias("tag")).distinct(), "id")
+    by = ["query_id", "label"] if by_label else ["query_id"]
+    scored = V.scored_pairs(spark, sf, S.POOL, by_label, rows).withColumnRenamed("vec_id", "id")
+    pool = cut(S.pooled(scored, by).select("query_id", "label", "id", "source", "base", "similarity"))
     text = F.col("text")
-    return scored.join(docs, "vec_id").select("query_id", "label", F.col("vec_id").alias("id"), "source", "base", "similarity", T.collapse(text).alias("norm"), T.token_set(text).alias("tokens"), T.budget_tokens(text).alias("cost"))
+    wanted = docs.join(pool.select("id").distinct(), "id", "left_semi")
+    facts = wanted.select("id", "source", F.xxhash64(T.collapse(text)).alias("norm"), F.transform(T.token_set(text), lambda t: F.xxhash64(t)).alias("tokens"), T.budget_tokens(text).alias("cost"))
+    return pool.join(facts, (pool["id"] == facts["id"]) & pool["source"].eqNullSafe(facts["source"])).drop(facts["id"], facts["source"])
 
 
 @plans("g1_diverse_topk")
 def g1(spark, sf):
     """Per query and domain: three diverse chunks within a budget out of the best thirty."""
-    return S.diverse_top(pool_rows(spark, sf), ["query_id", "label"])
+    return S.diverse_top(pool_rows(spark, sf, True), ["query_id", "label"])
 
 
 @plans("t3_diverse_selection")
 def t3(spark, sf):
     """The same over all domains of a query, five at most."""
-    return S.diverse_top(pool_rows(spark, sf).drop("label"), ["query_id"], k=5)
+    return S.diverse_top(pool_rows(spark, sf, False).drop("label"), ["query_id"], k=5)
 
 
 TOKENS_SQL = "sets AS (SELECT doc_id, source, lower(text) AS low, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)?'), lambda w: lower(w)))) AS t FROM documents)"
