@@ -89,3 +89,27 @@ def test_shuffles_end_with_the_table_they_are_for(spark):
         time.sleep(0.1)
     assert not left and out.count() == 1000
     assert spark.conf.get(name, None) == setting
+
+
+def test_similar_pairs_of_one_source_and_what_is_written(spark, tmp_path):
+    """Pairs against brute force, with sources that are null and sets that come twice; no table of whole sets stays."""
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for i in range(240):
+        words = list(bases[i % 12])
+        for _ in range(rng.randrange(14)):
+            words[rng.randrange(60)] = f"x{rng.randrange(200)}"
+        rows.append((i, rng.choice(("s", "t", None)), sorted(set(words))))
+    rows += [(300 + i, s, t) for i, (_, s, t) in enumerate(rows[:20])]
+    df = spark.createDataFrame(rows, "id long, source string, tokens array<string>")
+    written = []
+    for t in (0.72, 0.94):
+        heads = {}
+        for i, s, w in rows:
+            heads.setdefault((s, tuple(w)), i)
+        want = {(a, b) for (s, x), a in heads.items() for (u, y), b in heads.items() if s is not None and s == u and a < b and len(set(x) & set(y)) >= t * len(set(x) | set(y))}
+        found = similar_pairs(df, t, ["source"], 12)
+        written.append(found)
+        assert {(r.a, r.b) for r in found.collect()} == want and (want or t > 0.9)
+    assert all(f.schema.names == ["a", "b", "similarity"] and getattr(f, "scratch_path", None) for f in written)
