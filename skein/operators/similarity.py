@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from skein.operators.components import components
 from skein.sources.scratch import cut, discard
 
-#: Counters that tell how frequent tokens are, for their order, and turns in which the tokens of prefixes are joined:
-#: the shuffle files of one are gone before the next.
-COUNTERS, TURNS = 1 << 20, 4
+#: Counters that tell how frequent tokens are, for their order, and the most turns in which prefixes are joined. A turn
+#: takes a share of the sets, with about as many pairs as prefixes have tokens; its shuffle files are gone before the
+#: next, and only pairs that share enough tokens stay.
+COUNTERS, TURNS = 1 << 20, 64
 
 
 def set_rows(sets: DataFrame, least_size: int, columns: Sequence[str] = ()) -> DataFrame:
@@ -82,20 +83,22 @@ def _pairs(rows: DataFrame, order: Broadcast, threshold: float, columns: Sequenc
     same = [F.col(f"h.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
     heads = _prefixes(rows, order, threshold, columns).alias("h").join(reps.alias("r"), [F.col("h.id") == F.col("r.id"), F.col("h.key") == F.col("r.key"), *same], "left_semi")
     heads = cut(heads.select("id", "n", "firsts"))
+    tokens = heads.select("id", "n", F.explode("firsts").alias("token"))
+    mass = tokens.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum("c").alias("tokens"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+    turns = max(1, min(TURNS, math.ceil((mass["pairs"] or 0) / (mass["tokens"] or 1))))
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    turns = []
-    for k in range(TURNS):
-        tokens = heads.select("id", "n", F.explode("firsts").alias("token")).where(F.pmod("token", F.lit(TURNS)) == k)
-        met = tokens.withColumnsRenamed({"id": "a", "n": "na"}).join(tokens.withColumnsRenamed({"id": "b", "n": "nb"}), "token").where(near)
-        turns.append(cut(met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))))
-    counted = turns[0]
-    for turn in turns[1:]:
-        counted = counted.unionByName(turn)
-    counted = counted.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
     least = lambda n: F.ceil(F.col(n) * threshold - 1e-9)
     enough = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6) + 1 - F.greatest(least("na"), least("nb"))
-    pairs = cut(counted.where(F.col("c") >= enough).select("a", "b").distinct())
-    discard(heads, *turns)
+    found = []
+    for k in range(turns):
+        mine = tokens.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == k)
+        met = mine.withColumnsRenamed({"id": "a", "n": "na"}).join(tokens.withColumnsRenamed({"id": "b", "n": "nb"}), "token").where(near)
+        found.append(cut(met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("a", "b")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = cut(pairs.distinct())
+    discard(heads, *found)
     wanted = cut(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "key", *columns, "tokens").dropDuplicates(["id", "key", *columns]))
     left, right = (wanted.select(F.col("id").alias(side), F.col("tokens").alias(f"of_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
